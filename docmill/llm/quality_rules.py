@@ -6,7 +6,7 @@ are versioned masks over those bits, so applying one, comparing versions and com
 
 Edge cases: a null or blank text has no words and fails `few_words`; ratios have a denominator of
 1 at least; repeated rows get equal ledgers; an empty table gives an empty ledger; input columns
-that share a name with a measurement, `fail_bits` or `text_words` are replaced.
+that share a name with a measurement, `fail_bits` or `word_stats` are replaced.
 """
 
 from __future__ import annotations
@@ -36,43 +36,52 @@ def words_of(text: Column) -> Column:
 def dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
     lines = F.filter(F.split(text, "\n"), lambda s: without(s, BLANKS) != "")
-    return F.size(lines) - F.size(F.array_distinct(lines))
+    return bind(lines, lambda own: F.size(own) - F.size(F.array_distinct(own)))
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def repeat_words(words: Column, window: int = 3) -> Column:
-    """Words that lie in a window found twice or more in the text.
+    """Words that lie in a window found twice or more in the text; `words` must be bound.
 
     Windows are sorted by a 64-bit hash with their positions; equal neighbours are repeats. Texts
     without repeats stop at the first comparison of counts.
     """
     n = F.size(words) - (window - 1)
-    keys = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(window)]))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    keys = lambda h: F.transform(F.slice(h, 1, n), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, window)]))
+    place = lambda k: F.array_sort(F.transform(k, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
 
     def covered(rows: Column) -> Column:
-        starts = F.array_sort(F.transform(F.filter(rows, lambda x, i: same(x, F.get(rows, i - 1)) | same(x, F.get(rows, i + 1))), lambda x: x["i"]))
-        gaps = F.transform(starts, lambda s, i: F.least(F.lit(window), F.coalesce(F.get(starts, i + 1) - s, F.lit(window))))
-        return F.aggregate(gaps, F.lit(0), lambda a, g: a + g)
+        found = F.filter(rows, lambda x, i: same(x, F.get(rows, i - 1)) | same(x, F.get(rows, i + 1)))
+        return bind(F.array_sort(F.transform(found, lambda x: x["i"])), length)
+
+    def length(starts: Column) -> Column:
+        return F.aggregate(F.transform(starts, lambda s, i: F.least(F.lit(window), F.coalesce(F.get(starts, i + 1) - s, F.lit(window)))), F.lit(0), lambda a, g: a + g)
 
-    bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    return F.when(n < 2, 0).otherwise(bind(keys, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), 0).otherwise(covered_of(k, covered))))
+    return F.when(n < 2, 0).otherwise(bind(bind(hashes, keys), lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), 0).otherwise(bind(place(k), covered))))
 
 
-def covered_of(keys: Column, covered: Callable[[Column], Column]) -> Column:
-    rows = F.array_sort(F.transform(keys, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return F.get(F.transform(F.array(rows), covered), F.lit(0))
+def word_stats(text: Column) -> Column:
+    """struct of n_words, n_repeat_words, n_dup_lines: what needs arrays, made in one go."""
+    counts = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words"))
+    return bind(words_of(text), counts)
 
 
-def measurements(text: Column, words: Column) -> dict[str, Column]:
-    """Name -> integer measurement; `words` is an array column of the text's words."""
+def measurements(text: Column, stats: Column) -> dict[str, Column]:
+    """Name -> integer measurement; `stats` is the text's word_stats."""
     size = lambda c: F.length(c).cast("long")
     return {
         "n_chars": size(text),
-        "n_words": F.size(words).cast("long"),
+        "n_words": stats["n_words"],
         "word_chars": size(without(text, BLANKS)),
         "n_symbols": size(text) - size(without(text, SYMBOLS)),
         "n_dup_lines": dup_lines(text).cast("long"),
-        "n_repeat_words": repeat_words(words).cast("long"),
+        "n_repeat_words": stats["n_repeat_words"],
         "n_lines": (F.size(F.split(text, "\n"))).cast("long"),
         "n_upper": size(text) - size(without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
         "n_shouts": size(text) - size(without(text, "!?")),
@@ -121,11 +130,11 @@ def mask_of(policy: str | Sequence[str], rules: Sequence[Rule] = RULES) -> int:
 
 def ledger(docs: DataFrame, *, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents without their text, with measurements and `fail_bits`. Narrow: no shuffle."""
-    names = list(measurements(F.lit(""), F.array(F.lit(""))))
-    text = "text_words"
-    kept = [c for c in docs.columns if c not in {*names, "fail_bits", text, text_col}]
-    worded = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).withColumn(text, words_of(F.col(text_col)))
-    measured = worded.select(*kept, *[c.alias(n) for n, c in measurements(F.col(text_col), F.col(text)).items()])
+    names = ["n_chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_digits", "n_pipes"]
+    kept = [c for c in docs.columns if c not in {*names, "fail_bits", "word_stats", text_col}]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    worded = docs.select(*kept, text.alias(text_col), word_stats(text).alias("word_stats"))
+    measured = worded.select(*kept, *[c.alias(n) for n, c in measurements(F.col(text_col), F.col("word_stats")).items()])
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits + F.when(r.fails(F.col), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long"))
