@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_classifier, quality_rules, toxicity, url_rules
+from . import decontaminate, near_dup, packing, quality_classifier, quality_rules, toxicity, url_rules
 from .sampling import held_out
 from .textkit import table
 
@@ -47,6 +47,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rows = near_dup.classes(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "class_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     judged = quality_rules.apply_policy(entries, "v2")
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_rules": op3_url_rules,
     "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
+    "op6_near_dup": op6_near_dup,
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
 }

@@ -6,8 +6,10 @@ text, never the table.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,11 @@ _U64 = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, in a session whose Python workers find this package where it is not installed."""
+    root = str(Path(__file__).resolve().parents[2])
+    own = spark.sparkContext.environment
+    if root not in own.get("PYTHONPATH", "").split(os.pathsep):
+        own["PYTHONPATH"] = os.pathsep.join(x for x in (own.get("PYTHONPATH"), root) if x)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -220,7 +220,7 @@ def fit(
         empty.shift = float(np.log(share / (1 - share)))
         return empty
     half = sample_rows // 2
-    picked = lowest_hashes(known.where("_label = 1"), "_id", half).unionByName(lowest_hashes(known.where("_label = 0"), "_id", sample_rows - half))
+    picked = lowest_hashes(known.where("_label = 1"), "_id", half).unionByName(lowest_hashes(known.where("_label = 0"), "_id", sample_rows - min(n1, half)))
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     own = rows_of(docs.select(F.col(id_col), F.col(text_col).alias("_text"), lang.alias("_lang")), picked, id_col)
     rows = sorted(bucketed(own, "_text").drop("_text").collect(), key=lambda r: (str(r[id_col]), r["words"]))
