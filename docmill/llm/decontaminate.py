@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import Words, append_columns, mix, word_slices
+from .textkit import Words, append_columns, mix, saved, word_slices
 
 _U64 = np.uint64
 RUN_WORDS = 512
@@ -166,7 +166,7 @@ def mark_occurrences(
         table = [compile_patterns(n, found) for n, found in windows_of(pa.array([r["text"] for r in rows], pa.string()), window).items()]
         out = _pass(out, table, names, text_col, carry=b > 0)
         if n_blocks > 1 and b % 4 == 3:
-            out = out.checkpoint()  # bounds the workers that stand behind one another in a task
+            out = saved(out)  # bounds the workers that stand behind one another in a task
     return out
 
 

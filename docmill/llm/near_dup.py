@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import Words, append_columns, mix, word_slices
+from .textkit import Words, append_columns, mix, saved, word_slices
 
 _U64 = np.uint64
 BANDS, ROWS, SHINGLE, SIMILARITY = 30, 5, 5, 0.8
@@ -193,13 +193,13 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
 def components(links: DataFrame) -> DataFrame:
     """node, label (least node of its class) of all nodes in `links` (a, b). Label propagation with pointer jumping."""
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct()
-    both = both.checkpoint()
-    labels = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low")).select("node", F.least("node", "low").alias("label")).checkpoint()
+    both = saved(both)
+    labels = saved(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low")).select("node", F.least("node", "low").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("low"))
         lower = labels.join(near, "node").select("node", "label", F.least("label", "low").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        step = lower.join(jump, "new", "left").select("node", F.coalesce("far", "new").alias("far"), "label").select("node", F.least("far", "label").alias("label"), (F.least("far", "label") != F.col("label")).alias("moved")).checkpoint()
+        step = saved(lower.join(jump, "new", "left").select("node", F.coalesce("far", "new").alias("far"), "label").select("node", F.least("far", "label").alias("label"), (F.least("far", "label") != F.col("label")).alias("moved")))
         labels = step.select("node", "label")
         if step.where("moved").limit(1).count() == 0:
             return labels
@@ -224,18 +224,18 @@ def classes(
     prints = signed(keyed, "text", bands, rows, shingle).drop("text")
     # any copy's signature will do: identical texts have identical ones
     nodes = prints.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.first("band_hashes").alias("band_hashes"), F.first("n_shingles").alias("n"))
-    nodes = nodes.withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()))
     entries = nodes.select(F.explode("band_hashes").alias("bucket"), "node", "n")
     buckets = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    entries = entries.join(buckets, "bucket").checkpoint()  # only buckets of two or more
+    entries = saved(entries.join(buckets, "bucket"))  # only buckets of two or more
     leader = entries.where("node = leader").select("bucket", F.col("n").alias("n_a"))
     alike = (F.least("n", "n_a") >= similarity * F.greatest("n", "n_a")) & (F.col("node") != F.col("leader"))
     pairs = entries.where("node != leader").join(leader, "bucket").where(alike).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     wanted = entries.select("node").distinct().join(nodes.select("node", "text_key"), "node").select("node", "text_key")
     # one text for each candidate node: copies are dropped by key
-    texts = keyed.select("text_key", "text").join(wanted, "text_key").groupBy("node").agg(F.first("text").alias("text")).checkpoint()
-    tested = pairs.checkpoint()
-    links = verified(tested, texts, similarity, shingle).checkpoint()
+    texts = saved(keyed.select("text_key", "text").join(wanted, "text_key").groupBy("node").agg(F.first("text").alias("text")))
+    tested = saved(pairs)
+    links = saved(verified(tested, texts, similarity, shingle))
     labels = components(links)
     turn = 0
     while True:
@@ -246,18 +246,17 @@ def classes(
         place = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / LEADERS)).cast("long")
         open_ = open_.withColumn("place", place).where(F.col("size") > turn * LEADERS)
         chosen = open_.where(F.col("place") == turn).select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-        fresh = (
+        fresh = saved(
             open_.join(chosen, "bucket")
             .where((F.col("label") != F.col("label_a")) & (F.col("node") != F.col("a")) & (F.least("n", "n_a") >= similarity * F.greatest("n", "n_a")))
             .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
             .distinct()
             .join(tested, ["a", "b"], "left_anti")
-            .checkpoint()
         )
         more = open_.where(F.col("place") > turn).limit(1).count() > 0
         if fresh.limit(1).count():
             tested = tested.union(fresh)
-            found = verified(fresh, texts, similarity, shingle).checkpoint()
+            found = saved(verified(fresh, texts, similarity, shingle))
             if found.limit(1).count():
                 links = links.union(found)
                 labels = components(links)

@@ -7,6 +7,7 @@ text, never the table.
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -33,6 +34,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), a new temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="docmill-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: survives lost executors and cuts the lineage."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def append_columns(
     df: DataFrame,
     fields: list[T.StructField],
