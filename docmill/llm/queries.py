@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dup, packing, quality_classifier, quality_rules, toxicity, url_rules
+from . import decontaminate, line_dedup, near_dup, packing, quality_classifier, quality_rules, substring_dedup, toxicity, url_rules
 from .sampling import held_out
 from .textkit import table
 
@@ -68,6 +68,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "toxic_by_lang")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = substring_dedup.repeated_substrings(docs)
+    removed = F.aggregate(F.zip_with("span_from", "span_to", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    digests = texts.select("text_key", "n_bytes", removed.alias("n_removed"), F.size("span_from").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return docs.select("doc_id", substring_dedup.key_of(F.col("text")).alias("text_key")).join(digests, "text_key").drop("text_key")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -85,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_dup": op6_near_dup,
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
+    "op9_substrings": op9_substrings,
     "op10_line_dedup": op10_line_dedup,
     "pipeline": pipeline,
 }
