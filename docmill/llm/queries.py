@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dup, packing, quality_classifier, quality_rules, substring_dedup, toxicity, url_rules
+from . import decontaminate, license_scan, line_dedup, near_dup, packing, quality_classifier, quality_rules, substring_dedup, toxicity, url_rules
 from .sampling import held_out
 from .textkit import table
 
@@ -23,6 +23,20 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    templates = F.array_sort(F.array_distinct(F.transform("license_matches", lambda m: m["template"])))
+    return found.select(
+        "doc_id",
+        F.col("license_words").alias("n_words"),
+        F.size("license_matches").cast("long").alias("n_matches"),
+        F.array_join(templates, ",").alias("templates"),
+        F.aggregate("license_matches", F.lit(0).cast("long"), lambda a, m: a + m["to_word"] - m["from_word"]).alias("n_license_words"),
+        F.coalesce(F.array_max(F.transform("license_matches", lambda m: m["coverage"])), F.lit(0.0)).alias("best_coverage"),
+        F.array_join(F.transform("license_matches", lambda m: F.concat_ws(":", m["template"], m["from_word"].cast("string"), m["to_word"].cast("string"))), ",").alias("spans"),
+    )
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_rules.RULES_SCHEMA)
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -87,6 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_license_scan": op2_license_scan,
     "op3_url_rules": op3_url_rules,
     "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
