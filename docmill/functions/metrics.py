@@ -101,7 +101,7 @@ def dot(a: Column, b: Column) -> Column:
 def judge_score(raw: Column) -> Column:
     """First number of a judge's reply over 100, clamped; 0.5 without one."""
     n = F.nullif(F.regexp_extract(F.coalesce(raw, F.lit("")), r"(\d+)", 1), F.lit("")).try_cast("double")
-    return F.coalesce(F.least(F.greatest(n / 100, F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
+    return F.when(n.isNull(), 0.5).otherwise(F.least(n / 100, F.lit(1.0)))
 
 
 def overall_score(weights: dict[str, float] | None = None) -> Column:

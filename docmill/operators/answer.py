@@ -44,12 +44,12 @@ def bracket_errors(answer: Column, n_docs: Column) -> Column:
     return F.array_sort(F.array_except(used, F.sequence(F.lit(1), F.greatest(n_docs, F.lit(1)))))
 
 
-def cited_documents(answers: DataFrame, docs: DataFrame) -> DataFrame:
+def cited_documents(answers: DataFrame, docs: DataFrame, pasal_col: str = "pasal_id") -> DataFrame:
     """Documents an answer cites, the first of each article."""
     keys = citations(answers).select("query_id", "kind", "nomor", "year").distinct()
     own = docs.withColumn("kind", q.regulation_kind(F.col("regulation_type"))).withColumn("nomor", F.trim("nomor")).withColumn("year", F.col("publication_year").cast("string"))
     found = own.join(keys, ["query_id", "kind", "nomor", "year"], "left_semi")
-    return top(found, 1, [F.col("rank")], ("query_id", "kind", "nomor", "year", "pasal_id"), "_n").drop("_n", "kind", "year")
+    return top(found, 1, [F.col("rank")], ("query_id", "kind", "nomor", "year", *([pasal_col] if pasal_col in docs.columns else [])), "_n").drop("_n", "kind", "year")
 
 
 def extractive(docs: DataFrame, *, per_doc: int = 2, most: int = 6, excerpt: int = 900) -> DataFrame:

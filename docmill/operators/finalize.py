@@ -10,7 +10,7 @@ from ..functions import quality as q
 from ..functions import rules
 from ..functions import text as tx
 from ..schemas import CONTEXT_FIELDS
-from .structure import long_parts
+from .structure import with_long_parts
 
 
 def repair_duplicate_ids(chunks: DataFrame, *, order_col: str = "ord", source: Column | None = None, pasal: Column | None = None) -> DataFrame:
@@ -63,7 +63,8 @@ def finalize(chunks: DataFrame, sources: DataFrame, *, max_words: int = 450, ove
     rows = chunks.withColumn("source_file", F.col("metadata.source_file")).join(sources, "source_file")
     rows = rows.withColumn("reasons", q.quarantine_reasons(noise, artifacts, max_noise, max_artifacts)).withColumn("review", F.size("reasons") > 0)
     rows = rows.where(~F.col("review")) if drop_quarantined else rows
-    rows = rows.withColumn("_body", tx.cleaned(tx.before_appendix(F.col("text")))).where("_body != ''").withColumn("_parts", long_parts(max_words, overlap_words)("_body"))
+    rows = rows.withColumn("_body", tx.cleaned(tx.before_appendix(F.col("text")))).where("_body != ''")
+    rows = with_long_parts(rows, "_body", "_parts", max_words=max_words, overlap_words=overlap_words)
     parts = rows.select("*", F.size("_parts").alias("part_count"), F.posexplode("_parts").alias("_at", "part")).withColumn("part_index", F.col("_at") + 1)
     pasal = F.coalesce("metadata.pasal_id", F.lit(""))
     split = F.col("part_count") > 1

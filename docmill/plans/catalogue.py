@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metadata as md
@@ -359,11 +359,11 @@ def relevance_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {CHUNKS},
-p AS (SELECT lang AS query_id, id, source_file AS reg, source_file, pasal_id,
-             row_number() OVER (PARTITION BY lang ORDER BY ord) AS rank, list_distinct(['Pasal ' || (id % 13 + 1), 'Pasal ' || (id % 17 + 1)]) AS refs FROM c),
-l AS (SELECT source_file AS reg, lower(pasal_id) AS t, pasal_id, source_file, id, row_number() OVER (PARTITION BY source_file, lower(pasal_id) ORDER BY ord) AS n FROM c),
+p AS (SELECT * FROM (SELECT lang AS query_id, id, kind AS reg, source_file, pasal_id,
+             row_number() OVER (PARTITION BY lang ORDER BY ord) AS rank, list_distinct(['Pasal ' || (id % 13 + 1), 'Pasal ' || (id % 17 + 1)]) AS refs FROM c) WHERE rank <= 10),
+l AS (SELECT kind AS reg, lower(pasal_id) AS t, pasal_id, source_file, id, row_number() OVER (PARTITION BY kind, lower(pasal_id) ORDER BY ord) AS n FROM c),
 a AS (SELECT query_id, rank, reg, pasal_id, unnest(refs) AS target, unnest(range(len(refs))) AS pos FROM p),
-g AS (SELECT a.* FROM a WHERE lower(target) <> lower(pasal_id) AND EXISTS (SELECT 1 FROM p WHERE p.query_id = a.query_id AND lower(p.pasal_id) = lower(a.target))),
+g AS (SELECT a.* FROM a WHERE lower(target) <> lower(pasal_id)),
 f AS (SELECT g.query_id, g.rank, g.pos, l.id, l.source_file, l.pasal_id FROM g JOIN l ON l.reg = g.reg AND l.t = lower(g.target) AND l.n = 1),
 x AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.query_id = f.query_id AND p.source_file = f.source_file AND p.pasal_id = f.pasal_id)),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_file, pasal_id ORDER BY rank, pos) AS n FROM x),
@@ -371,10 +371,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, pos) AS
 SELECT query_id, id, source_file, pasal_id, CAST(rank AS INTEGER) AS from_rank, CAST(xr AS INTEGER) AS xref_rank FROM r WHERE xr <= 20
 """)
 def xref_expand(spark: SparkSession, d: str) -> DataFrame:
-    rows = chunks_view(spark, d).withColumn("reg", F.col("source_file")).withColumn("query_id", F.col("lang"))
+    rows = chunks_view(spark, d).withColumn("reg", q.regulation_kind(F.col("regulation_type"))).withColumn("query_id", F.col("lang"))
     refs = F.concat(F.lit("lihat Pasal "), (F.col("id") % 13 + 1).cast("string"), F.lit(" dan pasal "), (F.col("id") % 17 + 1).cast("string"), F.lit("."))
-    primary = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("ord"))).withColumn("referring", st.referenced_articles(refs))
-    found = rt.cross_references(primary.select("query_id", "rank", "reg", "source_file", "pasal_id", "referring"), rows, F.col("referring"), limit=20)
+    primary = rt.top(rows, 10, [F.col("ord")]).withColumn("referring", st.referenced_articles(refs))
+    found = rt.cross_references(primary.select("query_id", "rank", "reg", "source_file", "pasal_id", "referring"), rows, F.col("referring"), limit=20, topic_guard=False)
     return found.select("query_id", "id", "source_file", "pasal_id", "from_rank", "xref_rank")
 
 
@@ -570,7 +570,7 @@ def token_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def long_split(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "documents").select("doc_id", st.long_parts()("text").alias("parts"))
+    parts = st.with_long_parts(table(spark, d, "documents").select("doc_id", "text"), "text", "parts")
     return parts.select("doc_id", F.posexplode("parts").alias("at", "part")).select("doc_id", "at", F.md5(F.col("part").cast("binary")).alias("part_md5"), q.n_words(F.col("part")).alias("n_words"))
 
 
