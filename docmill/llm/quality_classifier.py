@@ -194,7 +194,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     unl = np.array([r["statistics"] for r in rows if 0 in r["_kinds"]])
     if len(pos) < 10 or len(unl) < 10:
         return None
-    return fit_pu(pos, unl, estimate_prior(pos, unl))
+    model = fit_pu(pos, unl, estimate_prior(pos, unl))
+    # an overestimated prior leaves negatives near the middle: move the zero as far as trusted positives allow
+    model.out_bias -= np.clip(np.quantile(model.logits(pos), 0.01) - 2, 0, 4)
+    return model
 
 
 def measured(docs: DataFrame, text_col: str) -> DataFrame:
