@@ -10,8 +10,10 @@ so a text costs about its length plus m log m.
 
 Components are banded (`bands` x `rows`), and texts that share a band are candidates. Identical
 texts are collapsed before banding. A bucket gives links to its least member, never all pairs;
-what these leave apart is taken up in further rounds: buckets that still hold several classes are
-searched by further leaders until every pair of different classes in a bucket has been compared.
+what these leave apart is taken up in further rounds. Members of buckets that still hold several
+classes are bucketed again by their rare shingles (prefix filter, which loses no pair), and there
+every member outside the largest class leads once, so all pairs of different classes in a bucket
+get compared and pairs within a class do not.
 Pairs are verified by exact multiset overlap of the whole texts, connected classes are found by
 label propagation with pointer jumping, and nothing but counts reaches the driver.
 
@@ -24,16 +26,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import Words, append_columns, mix, saved, word_slices
+from .textkit import Words, append_columns, mix, released, saved, word_slices
 
 _U64 = np.uint64
 BANDS, ROWS, SHINGLE, SIMILARITY = 30, 5, 5, 0.8
-#: Buckets up to this size compare their remaining classes in one round; larger ones take as many leaders a round.
-LEADERS = 32
+#: Members outside a bucket's largest class that are compared with the rest of it in one round (on average).
+LEADERS = 64
 
 
 # ---------------------------------------------------------------- shingles and signatures
@@ -205,6 +207,49 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the links (a, b) have joined their classes; only the classes touched are looked at."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").where("label_a != label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    new = components(between).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return saved(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+
+
+def rare_sharers(entries: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """bucket, node, n: for the nodes of band buckets with several classes, their rare shingles as finer buckets.
+
+    Two multisets of similarity s or more share an element among the n - ceil(s n) + 1 rarest of each, whatever order
+    is used for rarity as long as it is one for all. Texts that share a common passage and little else meet in a
+    band bucket but in none of these; no pair is lost.
+    """
+    current = entries.join(labels, "node")
+    mixed = current.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    nodes = current.join(mixed, "bucket").select("node").distinct()
+    elements = saved(elements_of(texts.join(nodes, "node"), shingle))
+    common = elements.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = elements.join(common, "element").select("node", "element", "n", "df")
+    whole = Window.partitionBy("node")
+    place = F.col("n") - F.count(F.lit(1)).over(whole) + F.row_number().over(whole.orderBy("df", "element"))  # elements of this node alone come first
+    return shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).select(F.col("element").alias("bucket"), "node", "n")
+
+
+def elements_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, element (a shingle and which of its occurrences), n (elements of the node)."""
+
+    def run(batches):
+        for batch in batches:
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            for i, j, _, _, w in word_slices(batch.column("text")):
+                row, key, count = shingles(w, shingle)
+                total = np.bincount(row, count, j - i).astype(np.int64)
+                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                own = np.repeat(row, count)
+                element = mix(np.repeat(key, count) + nth.astype(_U64) * _U64(0xA0761D6478BD642F))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i + own]), pa.array(element.view(np.int64)), pa.array(total[own])], names=["node", "element", "n"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, element long, n long")
+
+
 def classes(
     docs: DataFrame,
     *,
@@ -225,6 +270,7 @@ def classes(
     # any copy's signature will do: identical texts have identical ones
     nodes = prints.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.first("band_hashes").alias("band_hashes"), F.first("n_shingles").alias("n"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()))
+    released(docs.sparkSession)
     entries = nodes.select(F.explode("band_hashes").alias("bucket"), "node", "n")
     buckets = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
     entries = saved(entries.join(buckets, "bucket"))  # only buckets of two or more
@@ -236,33 +282,37 @@ def classes(
     texts = saved(keyed.select("text_key", "text").join(wanted, "text_key").groupBy("node").agg(F.first("text").alias("text")))
     tested = saved(pairs)
     links = saved(verified(tested, texts, similarity, shingle))
-    labels = components(links)
-    turn = 0
+    released(docs.sparkSession)
+    labels = relabelled(wanted.select("node", F.col("node").alias("label")), links)
+    opened, done = saved(rare_sharers(entries, labels, texts, similarity, shingle)), None
     while True:
-        # buckets with several classes: their members, numbered; a class that is alone in a bucket is done there
-        current = entries.join(labels, "node", "left").select("bucket", "node", "n", "size", F.coalesce("label", "node").alias("label"))
-        mixed = current.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-        open_ = current.join(mixed, "bucket")
-        place = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / LEADERS)).cast("long")
-        open_ = open_.withColumn("place", place).where(F.col("size") > turn * LEADERS)
-        chosen = open_.where(F.col("place") == turn).select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
+        released(docs.sparkSession)
+        # a bucket of one class is done for good; elsewhere everyone outside the largest class leads once
+        current = opened.join(labels, "node")
+        shares = current.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
+        mixed = shares.groupBy("bucket").agg(F.max(F.struct("members", "label")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("members").alias("all")).where("kinds > 1")
+        opened = saved(current.join(mixed.select("bucket", F.col("top.label").alias("top"), (F.col("all") - F.col("top.members")).alias("minor")), "bucket"))
+        waiting = opened.where("label != top")
+        if done is not None:
+            waiting = waiting.join(done, ["bucket", "node"], "left_anti")
+        turn = F.pmod(F.xxhash64("node", "bucket", F.lit(0)), F.ceil(F.col("minor") / LEADERS)).cast("long")
+        first_turn = waiting.groupBy("bucket").agg(F.min(turn).alias("now"))
+        chosen = saved(waiting.withColumn("turn", turn).join(first_turn, "bucket").where("turn = now").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a")))
+        if chosen.limit(1).count() == 0:
+            break
+        led = chosen.select("bucket", F.col("a").alias("node"))
+        done = led if done is None else done.union(led)
         fresh = saved(
-            open_.join(chosen, "bucket")
-            .where((F.col("label") != F.col("label_a")) & (F.col("node") != F.col("a")) & (F.least("n", "n_a") >= similarity * F.greatest("n", "n_a")))
+            opened.join(chosen, "bucket")
+            .where((F.col("label") != F.col("label_a")) & (F.least("n", "n_a") >= similarity * F.greatest("n", "n_a")))
             .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
             .distinct()
             .join(tested, ["a", "b"], "left_anti")
         )
-        more = open_.where(F.col("place") > turn).limit(1).count() > 0
+        opened = opened.select("bucket", "node", "n")
         if fresh.limit(1).count():
             tested = tested.union(fresh)
-            found = saved(verified(fresh, texts, similarity, shingle))
-            if found.limit(1).count():
-                links = links.union(found)
-                labels = components(links)
-        turn += 1
-        if not more:
-            break
+            labels = relabelled(labels, saved(verified(fresh, texts, similarity, shingle)))
     grouped = nodes.join(labels, "node", "left").select("text_key", "first_id", "node", F.coalesce("label", "node").alias("label"))
     heads = grouped.groupBy("label").agg(F.min("first_id").alias("class_id"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("head"))
     named = grouped.join(heads, "label").select("text_key", "first_id", "class_id", (F.col("node") == F.col("head.node")).alias("leads"))

@@ -6,6 +6,9 @@ text, never the table.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -50,6 +53,28 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def saved_by_key(df: DataFrame) -> DataFrame:
+    """A checkpoint that remembers how its rows are partitioned, so that later joins on that key do not move them.
+
+    Adaptive execution hides the partitioning of a checkpoint, so it is off while this one is written.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return saved(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def released(spark: SparkSession) -> None:
+    """Collects the driver's garbage: shuffle files that a checkpoint has made unreachable go, and the heap shrinks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def append_columns(
     df: DataFrame,
     fields: list[T.StructField],

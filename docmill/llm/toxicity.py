@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sampling import lowest_hashes, one_label, rows_of
-from .textkit import append_columns, mix, prefix_sums, range_hash, word_slices
+from .textkit import append_columns, mix, prefix_sums, range_hash, released, word_slices
 
 WORD_BITS, PREFIX_BITS, PREFIX_BYTES = 17, 14, 5
 WIDTHS = (1, 2, 3)
@@ -226,6 +226,7 @@ def fit(
     rows = sorted(bucketed(own, "_text").drop("_text").collect(), key=lambda r: (str(r[id_col]), r["words"]))
     data = [(np.frombuffer(r["words"], np.int32), np.frombuffer(r["prefixes"], np.int32)) for r in rows]
     y, langs = np.array([r["_label"] for r in rows]), np.array([str(r["_lang"]) for r in rows])
+    rows = None
     if len(set(y.tolist())) < 2:
         return fit(docs, labels.limit(0), id_col=id_col, text_col=text_col, label_col=label_col)
     back = np.random.default_rng(3).random(len(y)) < 0.2
@@ -243,6 +244,8 @@ def fit(
         on = langs[judged] == name
         if on.sum() >= least_of_lang and 0 < seen[on].sum() < on.sum():
             model.by_lang[name] = best_threshold(score[on], seen[on])
+    del data
+    released(docs.sparkSession)
     return model
 
 
