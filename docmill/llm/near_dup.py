@@ -34,8 +34,9 @@ from .textkit import Words, append_columns, mix, released, saved, word_slices
 
 _U64 = np.uint64
 BANDS, ROWS, SHINGLE, SIMILARITY = 30, 5, 5, 0.8
-#: Members outside a bucket's largest class that are compared with the rest of it in one round (on average).
-LEADERS = 64
+#: Members outside a bucket's largest class that are compared with the rest of it in the first round (on average), and
+#: how that grows from round to round: few comparisons while there are many classes, few rounds when there are few.
+LEADERS, MORE_LEADERS = 1, 4
 
 
 # ---------------------------------------------------------------- shingles and signatures
@@ -284,7 +285,7 @@ def classes(
     links = saved(verified(tested, texts, similarity, shingle))
     released(docs.sparkSession)
     labels = relabelled(wanted.select("node", F.col("node").alias("label")), links)
-    opened, done = saved(rare_sharers(entries, labels, texts, similarity, shingle)), None
+    opened, done, leaders = saved(rare_sharers(entries, labels, texts, similarity, shingle)), None, LEADERS
     while True:
         released(docs.sparkSession)
         # a bucket of one class is done for good; elsewhere everyone outside the largest class leads once
@@ -295,7 +296,8 @@ def classes(
         waiting = opened.where("label != top")
         if done is not None:
             waiting = waiting.join(done, ["bucket", "node"], "left_anti")
-        turn = F.pmod(F.xxhash64("node", "bucket", F.lit(0)), F.ceil(F.col("minor") / LEADERS)).cast("long")
+        turn = F.pmod(F.xxhash64("node", "bucket", F.lit(0)), F.ceil(F.col("minor") / leaders)).cast("long")
+        leaders *= MORE_LEADERS
         first_turn = waiting.groupBy("bucket").agg(F.min(turn).alias("now"))
         chosen = saved(waiting.withColumn("turn", turn).join(first_turn, "bucket").where("turn = now").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a")))
         if chosen.limit(1).count() == 0:
