@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .decontaminate import merge
-from .textkit import Powers, append_columns, flat, mix, prefix_sums, range_hash, saved, slices
+from .textkit import Powers, append_columns, flat, mix, prefix_sums, range_hash, released, saved, saved_by_key, slices
 
 _U64 = np.uint64
 WINDOW, GRAM = 200, 40
@@ -261,10 +261,15 @@ def repeats_in(data: np.ndarray, offs: np.ndarray, group: np.ndarray, rel: np.nd
 # ---------------------------------------------------------------- stages
 
 
+def keyed(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """`rows` of nodes by text_key instead."""
+    return rows.join(texts.select("node", "text_key"), "node").drop("node")
+
+
 def run_contents(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """gram, run, copies, runs (distinct ones of the minimizer), rel, body of the wanted runs (node, gram, run, at, ...)."""
     listed = wanted.groupBy("node").agg(F.collect_list(F.struct("gram", "run", "at", "copies", "runs")).alias("list"))
-    joined = texts.select("node", "packed").join(listed, "node").select("packed", "list")
+    joined = texts.select("text_key", "packed").join(keyed(texts, listed), "text_key").select("packed", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
@@ -369,23 +374,28 @@ def settled_by_count(contents: DataFrame, window: int) -> DataFrame:
 def repeated_substrings(docs: DataFrame, *, text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group_runs: int = 8192) -> DataFrame:
     """Per distinct text: text_key (SHA-256), n_bytes, span_from, span_to (maximal removed runs), kept (bytes)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = packed(docs.select(key_of(text).alias("text_key"), text.alias("text")), "text")
-    texts = keyed.groupBy("text_key").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("copies"))
-    texts = saved(texts.withColumn("node", F.monotonically_increasing_id()))
-    released(docs)
+    squeezed = packed(docs.select(key_of(text).alias("text_key"), text.alias("text")), "text")
+    texts = squeezed.groupBy("text_key").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("copies"))
+    # the bytes stay where they are from here on: only keys and small rows move to them
+    texts = saved_by_key(texts.withColumn("node", F.monotonically_increasing_id()))
+    released(docs.sparkSession)
     runs = minimizer_runs(texts, window, gram)
     seen = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed"))
     found = saved(runs.join(seen, "gram"))
-    released(docs)
+    released(docs.sparkSession)
     mixed = found.where("mixed").groupBy("gram", "run").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("node", "at")).alias("one"))
     mixed = saved(mixed.select("gram", "run", "copies", "one.node", "one.at"))
     per_gram = mixed.groupBy("gram").agg(F.count(F.lit(1)).alias("runs"))
-    contents = saved(run_contents(texts, mixed.join(per_gram, "gram"), window))
-    released(docs)
-    small = settled(contents.where(F.col("runs") <= group_runs), window, group_runs)
-    large = settled_by_count(contents.where(F.col("runs") > group_runs), window)
+    contents = run_contents(texts, mixed.join(per_gram, "gram"), window)
+    if per_gram.where(F.col("runs") > group_runs).limit(1).count():
+        contents = saved(contents)
+        ranges = settled(contents.where(F.col("runs") <= group_runs), window, group_runs).unionByName(settled_by_count(contents.where(F.col("runs") > group_runs), window))
+    else:
+        ranges = settled(contents, window, group_runs)
+    ranges = saved(ranges)
+    released(docs.sparkSession)
     whole = (F.col("at").bitwiseAND(0xFFFF) + window).cast("int")
-    ranges = mixed.where("copies > 1").select("gram", "run", F.array(F.lit(0)).alias("low"), F.array(whole).alias("high")).unionByName(small).unionByName(large)
+    ranges = mixed.where("copies > 1").select("gram", "run", F.array(F.lit(0)).alias("low"), F.array(whole).alias("high")).unionByName(ranges)
     first = F.shiftright("at", 32)
     shifted = lambda c: F.transform(c, lambda x: x + first)
     spans = (
@@ -395,7 +405,7 @@ def repeated_substrings(docs: DataFrame, *, text_col: str = "text", window: int
         .groupBy("node")
         .agg(F.flatten(F.collect_list("low")).alias("low"), F.flatten(F.collect_list("high")).alias("high"))
     )
-    joined = texts.join(spans, "node", "left").select("text_key", "copies", "packed", "low", "high")
+    joined = texts.join(keyed(texts, spans), "text_key", "left").select("text_key", "copies", "packed", "low", "high")
     return cut_out(joined, window)
 
 
@@ -428,7 +438,3 @@ def cut_out(texts: DataFrame, window: int) -> DataFrame:
 def key_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
-
-def released(df: DataFrame) -> None:
-    """Lets the cleaner drop shuffle files of stages that a checkpoint has made unreachable."""
-    df.sparkSession.sparkContext._jvm.System.gc()
