@@ -43,8 +43,9 @@ def text_key(text: Column) -> Column:
 
 def leaf_lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
     """text_key, doc_id, line_no, line, leaf of all lines that have a token."""
-    split = F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line")
-    lines = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), split).where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    # digest and split first: the text itself is not carried through the explode
+    split = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.split(F.col(text_col), "\n").alias("lines"))
+    lines = split.select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "line")).where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
     # the leading tokens come from the line's start alone; the count needs no array of tokens
     head = F.split(F.regexp_replace("line", "^" + BLANK_RUN, ""), BLANK_RUN, depth + 1)
     count = F.regexp_count("line", F.lit("[^\\x20\\x09-\\x0D]+"))
