@@ -47,6 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of whole texts at the default of 10,000 rows take tens of MB on both sides of a worker; a smaller setting of the user's stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and cuts the lineage."""
     shared_dir(df.sparkSession)
@@ -86,6 +93,7 @@ def append_columns(
     An input column with the name of a new one is replaced by it; all others pass through. With
     `text_col`, batches are cut so that they hold about 8 MB of that column at most.
     """
+    small_batches(df.sparkSession)
     names = [f.name for f in fields]
     base = df.drop(*[c for c in df.columns if c in names])
     schema = T.StructType([*base.schema.fields, *fields])
