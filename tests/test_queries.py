@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -14,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 def rows(df):
     names = sorted(df.columns)
-    shown = lambda v: repr(float(v)) if isinstance(v, float) else repr(v)
+    shown = lambda v: "-" if pd.isna(v) else repr(float(v)) if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
     return names, sorted(tuple(map(shown, r)) for r in df[names].astype(object).itertuples(index=False, name=None))
 
 
