@@ -5,12 +5,14 @@ a digit counts as variable. In leaves that lines of at least `min_docs` differen
 token that fewer lines share at its position is variable too; a line with its variable tokens
 blanked is its template. A template with enough constant tokens that occurs in at least `min_docs`
 different texts recurs, and its lines are dropped everywhere but in one document, the one with
-the least id (`keep_first=False` drops them there as well).
+the least id (`keep_first=False` drops them there as well). A line of at least `long_tokens` tokens
+recurs from the second different text on that has it byte for byte, in the same way.
 
 Copies of a text count once, so a copied document is not taken for a template. Identical lines are
 counted before tokens are spread, so a line that a third of all documents share is one row there;
-what follows are counts with partial sums and plain joins, which AQE splits. Texts are shuffled
-twice: lines to their leaves, and documents to their list of dropped lines.
+what follows are counts with partial sums and plain joins, which AQE splits. Lines travel as digests;
+the texts of the lines in leaves that enough texts reach are looked up by digest, and documents are
+shuffled once, to their list of dropped lines.
 
 Edge cases: null text stays null and has no lines; lines without tokens are never dropped; lines
 are what stands between "\\n"; the kept lines are joined by "\\n", so a text without dropped lines
@@ -27,6 +29,7 @@ from .textkit import saved
 
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 VARIABLE = "<*>"
+BROADCAST_KEYS = 200_000
 
 
 def tokens_of(line: Column) -> Column:
@@ -42,25 +45,33 @@ def text_key(text: Column) -> Column:
 
 
 def leaf_lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """text_key, doc_id, line_no, line, leaf of all lines that have a token."""
+    """text_key, doc_id, line_no, line_key, leaf, n_tokens of all lines that have a token."""
     # digest and split first: the text itself is not carried through the explode
     split = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.split(F.col(text_col), "\n").alias("lines"))
     lines = split.select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "line")).where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
     # the leading tokens come from the line's start alone; the count needs no array of tokens
     head = F.split(F.regexp_replace("line", "^" + BLANK_RUN, ""), BLANK_RUN, depth + 1)
-    count = F.regexp_count("line", F.lit("[^\\x20\\x09-\\x0D]+"))
+    counted = lines.withColumn("n_tokens", F.regexp_count("line", F.lit("[^\\x20\\x09-\\x0D]+")))
     lead = [F.coalesce(masked(F.get(head, F.lit(k))), F.lit("")) for k in range(depth)]
-    return lines.select("text_key", "doc_id", "line_no", "line", F.xxhash64(count, *lead).alias("leaf"))
+    return counted.select("text_key", "doc_id", "line_no", text_key(F.col("line")).alias("line_key"), F.xxhash64("n_tokens", *lead).alias("leaf"), "n_tokens")
 
 
-def recurring_lines(docs: DataFrame, *, id_col: str, text_col: str, min_docs: int, depth: int, constant: float, keep_first: bool) -> DataFrame:
+def texts_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """line_key, line of the wanted line_keys."""
+    lines = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).select(text_key(F.col("line")).alias("line_key"), "line")
+    if wanted.count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
+    return lines.join(wanted, "line_key", "left_semi").groupBy("line_key").agg(F.first("line").alias("line"))
+
+
+def recurring_lines(docs: DataFrame, *, id_col: str, text_col: str, min_docs: int, depth: int, constant: float, keep_first: bool, long_tokens: int) -> DataFrame:
     """text_key, dropped (array of line numbers) of the texts that lose lines."""
-    lines = leaf_lines(docs, id_col, text_col, depth)
-    reached = lines.groupBy("leaf", "text_key").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    held = lines.join(reached, "leaf").withColumn("line_key", F.unhex(F.md5(F.col("line").cast("binary"))))
     # a text's copies give the same lines: one row each
-    held = saved(held.groupBy("leaf", "line_key", "text_key", "line_no").agg(F.min("doc_id").alias("doc_id"), F.first("line").alias("line")))
-    unique = held.groupBy("leaf", "line_key").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("n"))
+    lines = saved(leaf_lines(docs, id_col, text_col, depth).groupBy("text_key", "line_no", "line_key", "leaf", "n_tokens").agg(F.min("doc_id").alias("doc_id")))
+    reached = lines.groupBy("leaf", "text_key").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    held = saved(lines.join(reached, "leaf").drop("n_tokens"))
+    counts = held.groupBy("leaf", "line_key").agg(F.count(F.lit(1)).alias("n"))
+    unique = counts.join(texts_of(docs, text_col, saved(counts.select("line_key"))), "line_key")
     placed = unique.select("leaf", "line_key", "n", F.posexplode(tokens_of(F.col("line"))).alias("pos", "token")).withColumn("token", masked(F.col("token")))
     support = placed.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("support")).where((F.col("support") >= min_docs) & (F.col("token") != VARIABLE)).select("leaf", "pos", "token", F.lit(True).alias("is_constant"))
     marked = placed.join(support, ["leaf", "pos", "token"], "left")
@@ -85,7 +96,12 @@ def recurring_lines(docs: DataFrame, *, id_col: str, text_col: str, min_docs: in
         .where(F.col("texts") >= min_docs)
         .select("leaf", "t1", "t2", "keeper")
     )
-    lost = lined.join(counted, ["leaf", "t1", "t2"])
+    lost = lined.join(counted, ["leaf", "t1", "t2"]).select("text_key", "line_no", "doc_id", "keeper")
+    # two different texts have two different hashes: no list of texts is needed
+    long = lines.where(F.col("n_tokens") >= long_tokens)
+    own = F.xxhash64("text_key")
+    verbatim = long.groupBy("line_key").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.min("doc_id").alias("keeper")).where("low < high").select("line_key", "keeper")
+    lost = lost.unionByName(long.join(verbatim, "line_key").select("text_key", "line_no", "doc_id", "keeper"))
     if keep_first:
         lost = lost.where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("keeper")))
     return lost.groupBy("text_key").agg(F.collect_set("line_no").alias("dropped"))
@@ -100,9 +116,10 @@ def drop_recurring_lines(
     depth: int = 4,
     constant: float = 0.5,
     keep_first: bool = True,
+    long_tokens: int = 20,
 ) -> DataFrame:
     """`docs` with the text's recurring lines taken out, n_lines and n_dropped appended."""
-    lost = recurring_lines(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, depth=depth, constant=constant, keep_first=keep_first)
+    lost = recurring_lines(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, depth=depth, constant=constant, keep_first=keep_first, long_tokens=long_tokens)
     base = docs.drop("n_lines", "n_dropped").withColumn("_text_key", text_key(F.col(text_col)))
     joined = base.join(lost.select(F.col("text_key").alias("_text_key"), "dropped"), "_text_key", "left").withColumnRenamed("dropped", "_dropped")
     lines = F.split(F.col(text_col), "\n")

@@ -353,3 +353,16 @@ def test_lines(spark, corpus):
     odd = line_dedup.drop_recurring_lines(docs_of(spark, ODD, n_words=[3] * len(ODD))).collect()
     assert {r.doc_id: (r.text, r.n_words) for r in odd} == {i: (t, 3) for i, t in enumerate(ODD)}
     assert line_dedup.drop_recurring_lines(docs.limit(0)).count() == 0
+
+
+def test_long_lines_recur_from_the_second_text(spark):
+    rng = random.Random(8)
+    make = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage, short, twice = make(52), make(19), make(20)
+    texts = [f"{make(6)}\n{passage}\n{make(7)}" for _ in range(8)] + [f"{short}\n{make(5)}" for _ in range(9)]
+    texts += [f"{make(4)}\n{twice}", f"{twice} end\n{make(4)}", f"{twice}\n{make(4)}", f"{make(30)}\n{make(3)}", f"{make(30)}\n{make(3)}"]
+    texts += [texts[-1]] * 3  # copies alone are not a second text
+    rows = line_dedup.drop_recurring_lines(docs_of(spark, texts).repartition(3)).collect()
+    lost = {r.doc_id: r.n_dropped for r in rows if r.n_dropped}
+    assert lost == {**dict.fromkeys(range(1, 8), 1), 19: 1}
+    assert {r.doc_id: r.text for r in rows} == {i: t.replace(passage + "\n", "") if 1 <= i < 8 else t.replace(twice + "\n", "") if i == 19 else t for i, t in enumerate(texts)}
