@@ -32,7 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.drop_recurring_lines(docs)
+    # copies stay alike, so that the next stage still takes them for copies
+    kept = line_dedup.drop_recurring_lines(docs, keep_copies=True)
     return kept.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

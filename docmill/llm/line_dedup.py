@@ -5,7 +5,8 @@ a digit counts as variable. In leaves that lines of at least `min_docs` differen
 token that fewer lines share at its position is variable too; a line with its variable tokens
 blanked is its template. A template with enough constant tokens that occurs in at least `min_docs`
 different texts recurs, and its lines are dropped everywhere but in one document, the one with
-the least id (`keep_first=False` drops them there as well). A line of at least `long_tokens` tokens
+the least id (`keep_first=False` drops them there as well); copies of that document lose them (`keep_copies=True` spares
+them, so that copies stay copies for a later stage). A line of at least `long_tokens` tokens
 recurs from the second different text on that has it byte for byte, in the same way.
 
 Copies of a text count once, so a copied document is not taken for a template. Identical lines are
@@ -65,7 +66,7 @@ def texts_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, *, id_col: str, text_col: str, min_docs: int, depth: int, constant: float, keep_first: bool, long_tokens: int) -> DataFrame:
-    """text_key, dropped (array of line numbers) of the texts that lose lines."""
+    """text_key, first_id, dropped (line numbers that all rows of the text lose), first_only (those that all but first_id lose)."""
     # a text's copies give the same lines: one row each
     lines = saved(leaf_lines(docs, id_col, text_col, depth).groupBy("text_key", "line_no", "line_key", "leaf", "n_tokens").agg(F.min("doc_id").alias("doc_id")))
     reached = lines.groupBy("leaf", "text_key").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
@@ -102,9 +103,13 @@ def recurring_lines(docs: DataFrame, *, id_col: str, text_col: str, min_docs: in
     own = F.xxhash64("text_key")
     verbatim = long.groupBy("line_key").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.min("doc_id").alias("keeper")).where("low < high").select("line_key", "keeper")
     lost = lost.unionByName(long.join(verbatim, "line_key").select("text_key", "line_no", "doc_id", "keeper"))
-    if keep_first:
-        lost = lost.where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("keeper")))
-    return lost.groupBy("text_key").agg(F.collect_set("line_no").alias("dropped"))
+    # doc_id is the least of the text's copies: only it can be the keeper
+    kept = F.coalesce(F.col("doc_id") == F.col("keeper"), F.lit(False)) & F.lit(keep_first)
+    return lost.groupBy("text_key").agg(
+        F.min("doc_id").alias("first_id"),
+        F.collect_set(F.when(~kept, F.col("line_no"))).alias("dropped"),
+        F.collect_set(F.when(kept, F.col("line_no"))).alias("first_only"),
+    )
 
 
 def drop_recurring_lines(
@@ -116,16 +121,19 @@ def drop_recurring_lines(
     depth: int = 4,
     constant: float = 0.5,
     keep_first: bool = True,
+    keep_copies: bool = False,
     long_tokens: int = 20,
 ) -> DataFrame:
     """`docs` with the text's recurring lines taken out, n_lines and n_dropped appended."""
     lost = recurring_lines(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, depth=depth, constant=constant, keep_first=keep_first, long_tokens=long_tokens)
     base = docs.drop("n_lines", "n_dropped").withColumn("_text_key", text_key(F.col(text_col)))
-    joined = base.join(lost.select(F.col("text_key").alias("_text_key"), "dropped"), "_text_key", "left").withColumnRenamed("dropped", "_dropped")
+    joined = base.join(lost.toDF(*[f"_{c}" for c in lost.columns]), "_text_key", "left")
+    copy = F.coalesce(F.col(id_col) != F.col("_first_id"), F.lit(True)) & F.lit(not keep_copies)
+    joined = joined.withColumn("_dropped", F.when(copy, F.array_union("_dropped", "_first_only")).otherwise(F.col("_dropped")))
     lines = F.split(F.col(text_col), "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_dropped", i)), "\n")
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    out = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col("_dropped").isNull(), 0).otherwise(F.col("n_dropped")).cast("long"))
+    out = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long"))
+    out = out.withColumn("n_dropped", F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long"))
     out = out.withColumn(text_col, F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(kept))
     return out.select(*[c for c in docs.columns if c not in {"n_lines", "n_dropped"}], "n_lines", "n_dropped")

@@ -366,3 +366,17 @@ def test_long_lines_recur_from_the_second_text(spark):
     lost = {r.doc_id: r.n_dropped for r in rows if r.n_dropped}
     assert lost == {**dict.fromkeys(range(1, 8), 1), 19: 1}
     assert {r.doc_id: r.text for r in rows} == {i: t.replace(passage + "\n", "") if 1 <= i < 8 else t.replace(twice + "\n", "") if i == 19 else t for i, t in enumerate(texts)}
+
+
+def test_copies_of_the_keeper_lose_its_lines(spark):
+    passage = " ".join(f"w{chr(97 + i)}" for i in range(26))
+    head, other = f"head\n{passage}", f"other\n{passage}\nend"
+    texts = [head, other, head, other, head, "alone\nhere"]
+    rows = line_dedup.drop_recurring_lines(docs_of(spark, texts).repartition(3)).collect()
+    assert {r.doc_id: (r.text, r.n_dropped) for r in rows} == {0: (head, 0), 1: ("other\nend", 1), 2: ("head", 1), 3: ("other\nend", 1), 4: ("head", 1), 5: (texts[5], 0)}
+    bare = line_dedup.drop_recurring_lines(docs_of(spark, texts), keep_first=False).collect()
+    assert {r.doc_id: r.n_dropped for r in bare} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
+    nulls = docs_of(spark, texts[:3]).withColumn("doc_id", F.expr("nullif(doc_id, 2)"))
+    assert sorted((str(r.doc_id), r.n_dropped) for r in line_dedup.drop_recurring_lines(nulls).collect()) == [("0", 0), ("1", 1), ("None", 1)]
+    alike = line_dedup.drop_recurring_lines(docs_of(spark, texts), keep_copies=True).collect()
+    assert {r.doc_id: r.n_dropped for r in alike} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
