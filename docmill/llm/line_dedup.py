@@ -5,9 +5,10 @@ a digit counts as variable. In leaves that lines of at least `min_docs` differen
 token that fewer lines share at its position is variable too; a line with its variable tokens
 blanked is its template. A template with enough constant tokens that occurs in at least `min_docs`
 different texts recurs, and its lines are dropped everywhere but in one document, the one with
-the least id (`keep_first=False` drops them there as well); copies of that document lose them (`keep_copies=True` spares
-them, so that copies stay copies for a later stage). A line of at least `long_tokens` tokens
-recurs from the second different text on that has it byte for byte, in the same way.
+the least id (`keep_first=False` drops them there as well). Copies of that document lose them too;
+`keep_copies=True` spares them, so that copies stay copies for a later stage. Lines that are the
+same byte for byte recur in `min_docs` texts whatever their share of digits, and those of at least
+`long_tokens` tokens from the second different text on.
 
 Copies of a text count once, so a copied document is not taken for a template. Identical lines are
 counted before tokens are spread, so a line that a third of all documents share is one row there;
@@ -98,6 +99,15 @@ def recurring_lines(docs: DataFrame, *, id_col: str, text_col: str, min_docs: in
         .select("leaf", "t1", "t2", "keeper")
     )
     lost = lined.join(counted, ["leaf", "t1", "t2"]).select("text_key", "line_no", "doc_id", "keeper")
+    identical = (
+        held.groupBy("line_key", "text_key")
+        .agg(F.min("doc_id").alias("doc_id"))
+        .groupBy("line_key")
+        .agg(F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("keeper"))
+        .where(F.col("texts") >= min_docs)
+        .select("line_key", "keeper")
+    )
+    lost = lost.unionByName(held.join(identical, "line_key").select("text_key", "line_no", "doc_id", "keeper"))
     # two different texts have two different hashes: no list of texts is needed
     long = lines.where(F.col("n_tokens") >= long_tokens)
     own = F.xxhash64("text_key")

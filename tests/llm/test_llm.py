@@ -380,3 +380,11 @@ def test_copies_of_the_keeper_lose_its_lines(spark):
     assert sorted((str(r.doc_id), r.n_dropped) for r in line_dedup.drop_recurring_lines(nulls).collect()) == [("0", 0), ("1", 1), ("None", 1)]
     alike = line_dedup.drop_recurring_lines(docs_of(spark, texts), keep_copies=True).collect()
     assert {r.doc_id: r.n_dropped for r in alike} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
+
+
+def test_identical_lines_recur_whatever_their_digits(spark):
+    row = "030 1234 55 2024-05-01 call"
+    texts = [f"top {chr(97 + i)} x\n{row}\nmore {chr(97 + i)}" for i in range(10)] + ["lone\n77 88 99 11"] * 12
+    rows = line_dedup.drop_recurring_lines(docs_of(spark, texts).repartition(3)).collect()
+    assert {r.doc_id: r.n_dropped for r in rows} == {i: int(1 <= i < 10) for i in range(len(texts))}
+    assert all(r.n_dropped == 0 for r in line_dedup.drop_recurring_lines(docs_of(spark, texts[:9] + texts[10:])).collect())
