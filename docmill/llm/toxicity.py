@@ -6,7 +6,8 @@ a linear layer turns the maxima into a score. Training is Adam on cross-entropy
 sent through the maxima; the first channel starts as smoothed log-odds of the words, which spares
 most of the epochs. The fit uses a bounded sample (`sample_rows`, half of each class where there
 are enough) and ends with Platt calibration, corrected to the class shares of all labels, and a
-threshold for each language with enough held-back rows.
+threshold for each language with enough held-back rows. For languages that are too rare in the
+sample, labelled rows are drawn by language, kept from training and scored where they lie.
 
 Only the text is an input of a score; the language picks a threshold. Scoring is a narrow map.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sampling import lowest_hashes, one_label, rows_of
-from .textkit import append_columns, mix, prefix_sums, range_hash, released, word_slices
+from .textkit import append_columns, mix, prefix_sums, range_hash, released, saved, word_slices
 
 WORD_BITS, PREFIX_BITS, PREFIX_BYTES = 17, 14, 5
 WIDTHS = (1, 2, 3)
@@ -197,6 +198,42 @@ def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
     return float(grid[best[len(best) // 2]])
 
 
+def reserved_of_langs(docs: DataFrame, known: DataFrame, id_col: str, lang_col: str | None, back: dict[int, float], least: int) -> DataFrame | None:
+    """_id, _label, _lang of labelled rows kept from training, of languages of which `back` (share by label) leaves too few.
+
+    About `least` rows of each label, a quarter of them at most; languages with too few labels for that have none.
+    """
+    if not lang_col or lang_col not in docs.columns:
+        return None
+    lang = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")).where(F.col("_lang").isNotNull())
+    cells = known.join(lang.groupBy("_id").agg(F.min("_lang").alias("_lang")), "_id")
+    sizes: dict[str, dict[int, int]] = {}
+    for r in cells.groupBy("_lang", "_label").count().collect():
+        sizes.setdefault(r["_lang"], {})[r["_label"]] = r["count"]
+    shares = []
+    for name, n in sizes.items():
+        own = {k: min(0.25, 1.2 * least / v) for k, v in n.items()}
+        if len(n) > 1 and sum(back[k] * v for k, v in n.items()) < 1.25 * least <= 1.13 * sum(own[k] * v for k, v in n.items()):
+            shares += [(name, k, int(x * (1 << 20))) for k, x in own.items()]
+    if not shares:
+        return None
+    table = docs.sparkSession.createDataFrame(shares, "_lang string, _label int, _below long")
+    drawn = cells.join(F.broadcast(table), ["_lang", "_label"]).where(F.pmod(F.xxhash64("_id", F.lit(77)), F.lit(1 << 20)) < F.col("_below"))
+    return saved(drawn.select("_id", "_label", "_lang"))
+
+
+def thresholds_of(docs: DataFrame, reserve: DataFrame, model: ConvModel, id_col: str, text_col: str, least: int) -> dict[str, float]:
+    """Thresholds from the reserved rows; their texts are scored where they lie."""
+    own = rows_of(docs.select(F.col(id_col), F.col(text_col).alias("_text")), reserve, id_col)
+    rows = score(own, model, text_col="_text", lang_col=None, out="_score", out_flag="_flag").select("_lang", "_label", "_score").collect()
+    out = {}
+    for name in sorted({r["_lang"] for r in rows}):
+        p, y = (np.array([r[c] for r in rows if r["_lang"] == name]) for c in ("_score", "_label"))
+        if len(y) >= least and 0 < y.sum() < len(y):
+            out[name] = best_threshold(p, y)
+    return out
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -220,6 +257,9 @@ def fit(
         empty.shift = float(np.log(share / (1 - share)))
         return empty
     half = sample_rows // 2
+    reserve = reserved_of_langs(docs, known, id_col, lang_col, {1: 0.2 * min(1, half / n1), 0: 0.2 * min(1, (sample_rows - min(n1, half)) / n0)}, least_of_lang)
+    if reserve is not None:
+        known = known.join(F.broadcast(reserve.select("_id")), "_id", "left_anti")
     picked = lowest_hashes(known.where("_label = 1"), "_id", half).unionByName(lowest_hashes(known.where("_label = 0"), "_id", sample_rows - min(n1, half)))
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     own = rows_of(docs.select(F.col(id_col), F.col(text_col).alias("_text"), lang.alias("_lang")), picked, id_col)
@@ -245,6 +285,8 @@ def fit(
         if on.sum() >= least_of_lang and 0 < seen[on].sum() < on.sum():
             model.by_lang[name] = best_threshold(score[on], seen[on])
     del data
+    if reserve is not None:
+        model.by_lang |= thresholds_of(docs, reserve, model, id_col, text_col, least_of_lang)
     released(docs.sparkSession)
     return model
 

@@ -88,6 +88,18 @@ def test_toxicity_finds_words_anywhere(spark):
     assert len(odd) == len(ODD) and len({r.score for r in odd if not (r.text or "").strip()}) == 1
 
 
+def test_rare_languages_get_their_own_threshold(spark):
+    rng = random.Random(12)
+    make = lambda bad: " ".join([f"w{rng.randint(0, 200)}" for _ in range(rng.randint(5, 40))] + (["moron"] if bad else []))
+    langs = ["es" if i % 5 == 0 else "xx" if i % 399 == 1 else "en" for i in range(2000)]
+    docs = docs_of(spark, [make(i % 4 == 0) for i in range(2000)], lang=langs)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, sample_rows=400, least_of_lang=40)
+    assert set(model.by_lang) == {"en", "es"}
+    rows = toxicity.score(docs, model).collect()
+    assert sum(r.toxic_by_lang == (r.doc_id % 4 == 0) for r in rows) >= 0.95 * len(rows)
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     model = toxicity.train([], np.zeros(0, int), epochs=0)
