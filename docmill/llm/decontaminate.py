@@ -13,8 +13,8 @@ map: no shuffle, and rows pass through in place. The benchmark reaches the tasks
 the hits so far carried along, so the whole benchmark may be of any size.
 
 Edge cases: null or wordless texts have no words and no hits; wordless items have no window and
-never occur; repeated rows are judged alike; null item ids are ignored as items but not otherwise;
-an empty benchmark hits nothing; input columns named like the result columns are replaced.
+never occur; repeated rows are judged alike; rows of the benchmark with a null item id are left out,
+their text is not searched; an empty benchmark hits nothing; input columns named like the result columns are replaced.
 """
 
 from __future__ import annotations
