@@ -43,15 +43,15 @@ class PieceEncoder:
 
     Texts of ASCII and Latin letters are split into pre-tokens with numpy by the tokenizer's
     splitting rule, and each distinct pre-token is merged by `ranks_path` (the same vocabulary as
-    merge ranks, which costs a third of the time); any other text, and texts with an apostrophe
-    (contractions), go through the tokenizer whole. Without ranks all texts do.
+    merge ranks, which costs a third of the time); any other text, texts with an apostrophe
+    (contractions) and texts that hold an added token's content go through the tokenizer whole. Without ranks all texts do.
     """
 
     def __init__(self, path: str, ranks_path: str | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.merge = None
         if ranks_path:
             import tiktoken
@@ -76,6 +76,12 @@ class PieceEncoder:
         bad = self.kind[data] == 5
         sign = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) if len(data) > 1 else np.zeros(0, bool)
         bad[:-1] |= sign
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                bad[at] = True
+                at = raw.find(token, at + 1)
         seen = np.concatenate(([0], np.cumsum(bad)))
         return (seen[offs[1:]] == seen[offs[:-1]]) & (self.merge is not None)
 

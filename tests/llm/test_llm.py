@@ -179,6 +179,16 @@ def test_ids_equal_the_tokenizer(corpus):
     assert got == [np.array(e.ids, "<u4").tobytes() for e in encoder.tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_keep_their_ids(corpus):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(JSON)
+    texts = [t or "" for t in corpus] + ["<|endoftext|>", "a<|endoftext|>b", "x <|endoftext|> <|endoftext|>y", "<|endof", "text|> z", "<|endoftext|"]
+    got = [ids for _, ids in packing.PieceEncoder(JSON, RANKS).encode(pa.array(texts))]
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert plain.encode("a <|endoftext|>", add_special_tokens=False).ids[-1] == 50256
+
+
 def test_packing_round_trip(spark, corpus):
     docs = docs_of(spark, corpus + [" ".join(corpus[:60])] * 3)
     rows = packing.pack_documents(docs.repartition(3), JSON, RANKS, window=128, block_docs=40, with_ids=True).collect()
