@@ -4,13 +4,14 @@ Every stage takes the documents that the one before has written, and all but the
 columns of documents:
 
 1. toxicity: documents over their language's threshold go.
-2. line_dedup: lines of recurring templates go, but for one document each; no document goes.
+2. line_dedup: recurring lines go, but for one document (and its copies) each; no document goes.
 3. near_dup: one document of each near-duplicate class stays.
 4. decontaminate: documents of which benchmark windows make up a twentieth or more go.
 5. packing: what stays is packed into sequences (one row per piece).
 
-SQL can express neither a trained network nor the packer, so there is no ORACLE_SQL; the stages are
-tested against brute-force versions.
+SQL can express neither a trained network nor the packer, so there is no ORACLE_SQL;
+tests/llm/test_planted.py holds each stage against planted rows (toxicity up to a few errors, of
+packing the ids alone), and test_llm.py its operator against brute force.
 """
 
 from __future__ import annotations
