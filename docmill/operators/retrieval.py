@@ -1,26 +1,29 @@
 """Ranking: lexical and dense top-k, fusion, boosts, ordered dedupe, relevance, cross-references.
 
-Queries are rows, so a batch is one plan. A batch of queries is small beside the corpus: it is the
-side that is broadcast, behind a check of its size, and every corpus row is scored where it lies; a
-top-k keeps at most k rows for each query and task before the one shuffle by query.
+Queries are rows, so a batch is one plan. Query vectors travel to the corpus in blocks of bounded size,
+and every corpus row is scored where it lies; a top-k keeps at most k rows for each query and task
+before the one shuffle by query.
 Ties always fall to the input order or the id, so results do not depend on partitions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality as q
 from ..functions import rules
-from ..functions.metrics import dot
 from ..functions.text import squeeze
 from .index import tokens
 
-#: Queries (rows) up to which a batch is broadcast.
-BATCH_ROWS = 10_000
+#: Rows and bytes of a block of queries that travels to the vectors, and how many of them are multiplied at once.
+BATCH_ROWS, QUERY_BYTES, MATRIX_QUERIES = 8192, 64 << 20, 256
 #: Scores that agree to so many digits are ties: sums of doubles depend on the order of their terms.
 TIE_DIGITS = 9
 
@@ -51,24 +54,46 @@ def bm25_top(scores: DataFrame, k: int) -> DataFrame:
 def dense(queries: DataFrame, vectors: DataFrame, k: int, *, where: Column | None = None) -> DataFrame:
     """query_id, id, dense_distance (cosine distance of unit vectors), rank: exact nearest neighbours.
 
-    The queries are a stated set against all rows; their number is checked before they travel.
+    The queries are a stated set against all rows. They travel in blocks whose number is fixed by their count,
+    so a block is bounded whatever the batch; each block is one matrix product a batch of vectors, of which
+    k rows a query stay. Vectors that are null or of another length than the queries' are left out.
     """
-    rows = queries.select("query_id", F.col("embedding").alias("_q")).limit(BATCH_ROWS + 1).collect()
-    if len(rows) > BATCH_ROWS:
-        parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2)) == i) for i in (0, 1)]
-        return reduce(DataFrame.unionByName, [dense(p, vectors, k, where=where) for p in parts])
-    vectors = vectors if where is None else vectors.where(where)
-    spread = vectors.select("id", "embedding", F.explode(_literal(rows, queries)).alias("_one"))
-    scored = spread.select("_one.query_id", "id", (1 - dot(F.col("embedding"), F.col("_one._q"))).alias("dense_distance"))
-    return top(scored, k, [F.round("dense_distance", TIE_DIGITS), F.col("id")])
-
-
-def _literal(packed: list, queries: DataFrame) -> Column:
-    """The batch of queries as one literal array of structs."""
-    kind = queries.schema["query_id"].dataType.simpleString()
-    one = lambda r: F.struct(F.lit(r["query_id"]).cast(kind).alias("query_id"), F.lit([float(x) for x in r["_q"]]).alias("_q"))
-    empty = F.array().cast(f"array<struct<query_id:{kind},_q:array<double>>>")
-    return F.array(*[one(r) for r in packed]) if packed else empty
+    vectors = (vectors if where is None else vectors.where(where)).select("id", "embedding")
+    asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    count, longest = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    n_blocks = max(1, -(-count // max(1, min(BATCH_ROWS, QUERY_BYTES // (8 * max(1, longest or 1))))))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    parts = [_nearest(asked.where(block == i), vectors, k) for i in range(n_blocks)]
+    return top(reduce(DataFrame.unionByName, parts), k, [F.round("dense_distance", TIE_DIGITS), F.col("id")])
+
+
+def _nearest(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, id, dense_distance: the k nearest of each batch of vectors, for one block of queries."""
+    held = asked.toArrow().combine_chunks()
+    shared = asked.sparkSession.sparkContext.broadcast(held)
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (vectors, "id"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows = shared.value["query_id"], shared.value["embedding"]
+        sizes = pc.list_value_length(rows).to_numpy()
+        by_size = {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
+        matrices = {n: np.array(rows.take(pa.array(at)).to_pylist()).reshape(len(at), n) for n, at in by_size.items()}
+        for batch in batches:
+            lengths = batch.column("embedding").value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            for n, matrix in matrices.items():
+                fit = batch.filter(pa.array(lengths == n))
+                if not fit.num_rows:
+                    continue
+                fit = fit.take(pc.sort_indices(fit, [("id", "ascending")]))  # a stable sort by distance leaves ties by id
+                points = fit.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+                for i in range(0, len(matrix), MATRIX_QUERIES):
+                    distance = 1 - matrix[i : i + MATRIX_QUERIES] @ points.T
+                    near = np.argsort(np.round(distance, TIE_DIGITS), axis=1, kind="stable")[:, :k]
+                    q = np.repeat(np.arange(len(near)), near.shape[1])
+                    arrays = [ids.combine_chunks().take(pa.array(by_size[n][i + q])), fit.column("id").take(pa.array(near.ravel())), pa.array(distance[q, near.ravel()])]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "id", "dense_distance"])
+
+    return vectors.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, dense_distance double")
 
 
 def fuse(*sources: tuple[DataFrame, str, float], k: int = rules.RRF_K) -> DataFrame:

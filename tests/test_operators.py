@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docmill.functions import metadata as md
@@ -169,3 +171,23 @@ def test_cross_references_with_guard(spark):
     chunks = spark.createDataFrame([("r", f"Pasal {i}", "s", f"id{i}-{n}", 10 * i + n) for i in (1, 2, 3) for n in (0, 1)], "reg string, pasal_id string, source_file string, id string, ord int")
     ids = lambda guard: [r.id for r in rt.cross_references(primary, chunks, F.col("refs"), limit=5, topic_guard=guard).orderBy("xref_rank").collect()]
     assert ids(True) == ["id2-0"] and ids(False) == ["id2-0", "id3-0"]
+
+
+@pytest.mark.parametrize("rows", [3, 7, 8192])
+def test_dense_in_blocks_equals_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(rt, "BATCH_ROWS", rows)
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(120, 6))
+    points[7] = points[8] = points[99]
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    kept = [(i, [float(x) for x in v]) for i, v in enumerate(points)]
+    vectors = spark.createDataFrame([*kept, (500, None), (501, [1.0])], "id long, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame([(f"q{i}", v) for i, v in kept[:50]] + [("none", None)], "query_id string, embedding array<float>")
+    got = {(r.query_id, r["rank"]): r.id for r in rt.dense(queries, vectors, 4).collect()}
+    exact = np.float32(points).astype(float)
+    wanted = {}
+    for i in range(50):
+        order = sorted(range(120), key=lambda j: (round(1 - float(exact[i] @ exact[j]), 9), j))
+        wanted |= {(f"q{i}", k + 1): order[k] for k in range(4)}
+    assert got == wanted
+    assert rt.dense(queries.limit(0), vectors, 4).count() == 0 and rt.dense(queries, vectors.limit(0), 4).count() == 0
