@@ -8,14 +8,23 @@ keeps its earliest point. Two signatures agree in a component with the probabili
 weighted Jaccard similarity. Points are made in order of time only until all components are hit,
 so a text costs about its length plus m log m.
 
-Components are banded (`bands` x `rows`), and texts that share a band are candidates. Identical
-texts are collapsed before banding. A bucket gives links to its least member, never all pairs;
-what these leave apart is taken up in further rounds. Members of buckets that still hold several
-classes are bucketed again by their rare shingles (prefix filter, which loses no pair), and there
-every member outside the largest class leads once, so all pairs of different classes in a bucket
-get compared and pairs within a class do not.
-Pairs are verified by exact multiset overlap of the whole texts, connected classes are found by
-label propagation with pointer jumping, and nothing but counts reaches the driver.
+1. Identical texts are collapsed; components are banded (`bands` x `rows`), and texts that share a
+   band are candidates. Texts alone in all their buckets are done.
+2. Each candidate is shingled once more into its bag (sorted hashes and counts) and a sketch: a second,
+   longer BagMinHash signature of four bits a component, whose front part does for most comparisons.
+   Sketches travel to the buckets, bags do not.
+3. Leaders: in every bucket the member nearest to the bucket's commonest components leads, up to four
+   times; pairs whose sketches may reach the similarity are verified by exact multiset overlap, and
+   verified pairs make classes (label propagation with pointer jumping).
+4. Across: in buckets that still hold several classes, each member outside the largest class meets every
+   member of the others, by sketch; pairs that may reach the similarity are verified as before, each once,
+   from the least of the buckets that both are in.
+
+So every pair of different classes that shares a band is looked at and pairs within a class are not. A pair
+of similarity 0.8 passes by all bands with probability 7e-6 and below a sketch's limits with 4e-7, a more
+similar one less often. Buckets of more than `block` members are led in parts whose leaders meet
+again, and crossed in blocks of `block` against `block`, so a task holds two blocks of sketches at most.
+Nothing but counts reaches the driver.
 
 Edge cases: null is the empty text; identical texts, wordless ones too, are one class; wordless
 texts are near no other text; repeated rows each get a row; null ids get a row and are never a
@@ -26,17 +35,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import Words, append_columns, mix, released, saved, word_slices
+from .textkit import Words, append_columns, fresh_name, mix, saved, small_batches, whole_groups, word_slices
 
 _U64 = np.uint64
 BANDS, ROWS, SHINGLE, SIMILARITY = 30, 5, 5, 0.8
-#: Members outside a bucket's largest class that are compared with the rest of it in the first round (on average), and
-#: how that grows from round to round: few comparisons while there are many classes, few rounds when there are few.
-LEADERS, MORE_LEADERS = 1, 4
+#: Components of a sketch, those of its front part, and how many standard deviations below the similarity an estimate may lie.
+SKETCH, FRONT, DEVIATIONS = 2048, 512, 5.1
+#: Members of a bucket that meet in one task.
+BLOCK = 2048
 
 
 # ---------------------------------------------------------------- shingles and signatures
@@ -151,7 +161,7 @@ def signed(docs: DataFrame, text_col: str, bands: int = BANDS, rows: int = ROWS,
     return append_columns(docs, [T.StructField("band_hashes", T.ArrayType(T.LongType())), T.StructField("n_shingles", T.LongType())], make, text_col)
 
 
-# ---------------------------------------------------------------- verification and classes
+# ---------------------------------------------------------------- bags and sketches
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -163,34 +173,210 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(both / max(1, a[1].sum() + b[1].sum() - both))
 
 
-def bags(column: pa.Array, shingle: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for i, j, _, _, w in word_slices(column):
-        row, key, count = shingles(w, shingle)
-        cut = np.searchsorted(row, np.arange(j - i + 1))
-        for r in range(j - i):
-            own = slice(cut[r], cut[r + 1])
-            order = np.argsort(key[own])
-            out.append((key[own][order], count[own][order]))
+def packed_sketch(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each component, 16 components a word."""
+    low = (mix(signature) & _U64(15)).reshape(len(signature), -1, 16)
+    out = np.zeros(low.shape[:2], _U64)
+    for k in range(16):
+        out |= low[:, :, k] << _U64(4 * k)
     return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """a, b of the pairs whose texts overlap enough. `texts`: node, text."""
-    both = (
-        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
-    )
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Components in which packed sketches agree, along the last axis."""
+    x = a ^ b
+    x |= x >> _U64(1)
+    x |= x >> _U64(2)
+    return a.shape[-1] * 16 - np.bitwise_count(x & _U64(0x1111111111111111)).sum(-1, dtype=np.int64)
 
-    def make():
-        def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            pairs = zip(bags(batch.column("text_a"), shingle), bags(batch.column("text_b"), shingle), strict=True)
-            return {"near": pa.array([overlap(x, y) >= similarity for x, y in pairs], pa.bool_())}
 
-        return fn
+def least_agreement(similarity: float, size: int) -> int:
+    """Components of `size` that texts of this similarity agree in, less the allowed deviations (a sixteenth of the others agree by chance)."""
+    p = similarity + (1 - similarity) / 16
+    return int(np.floor(size * p - DEVIATIONS * (size * p * (1 - p)) ** 0.5))
+
+
+def bags_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, buckets (int64), n, keys (sorted uint64), counts (uint32; empty where all are 1), front (of the sketch), sketch. `texts`: node, buckets (array), text."""
+
+    def run(batches):
+        for batch in batches:
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            for i, j, _, _, w in word_slices(batch.column("text")):
+                row, key, count = shingles(w, shingle)
+                order = np.lexsort((key, row))
+                row, key, count = row[order], key[order], count[order]
+                sketch = packed_sketch(bag_min_hash(row, key, count, j - i, SKETCH))
+                cut = np.searchsorted(row, np.arange(j - i + 1)).tolist()
+                counts = [count[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(nodes[i:j]),
+                        pa.array([np.array(b, np.int64).tobytes() for b in batch.column("buckets").slice(i, j - i).to_pylist()], pa.binary()),
+                        pa.array(np.bincount(row, count, j - i).astype(np.int64)),
+                        pa.array([key[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                        pa.array([c.astype(np.uint32).tobytes() if (c > 1).any() else b"" for c in counts], pa.binary()),
+                        pa.array([s[: FRONT // 16].tobytes() for s in sketch], pa.binary()),
+                        pa.array([s.tobytes() for s in sketch], pa.binary()),
+                    ],
+                    names=["node", "buckets", "n", "keys", "counts", "front", "sketch"],
+                )
+
+    return texts.select("node", "buckets", "text").mapInArrow(run, "node long, buckets binary, n long, keys binary, counts binary, front binary, sketch binary")
+
+
+def matrix(column: pa.ChunkedArray, kind: type = _U64) -> np.ndarray:
+    """Rows x values of a column of equally long byte strings."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the pairs whose bags overlap enough."""
+    side = lambda c: bags.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"), F.col("counts").alias(f"counts_{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "keys_a", "counts_a", "keys_b", "counts_b")
+
+    def bag(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+        k = np.frombuffer(keys, _U64)
+        return k, np.frombuffer(counts, np.uint32).astype(np.int64) if counts else np.ones(len(k), np.int64)
+
+    def run(batches):
+        for batch in batches:
+            sides = [zip(batch.column(f"keys_{c}").to_pylist(), batch.column(f"counts_{c}").to_pylist(), strict=True) for c in "ab"]
+            near = pa.array([overlap(bag(*x), bag(*y)) >= similarity for x, y in zip(*sides, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(near)
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+# ---------------------------------------------------------------- leaders
+
 
-    return append_columns(both, [T.StructField("near", T.BooleanType())], make, "text_a").where("near").select("a", "b")
+def may_be_near(n: np.ndarray, own_n: np.ndarray, sketch: np.ndarray, own: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sizes and sketches leave room for the similarity."""
+    fits = np.minimum(n, own_n) >= similarity * np.maximum(n, own_n)
+    return fits & (agreement(sketch, own) >= least_agreement(similarity, sketch.shape[1] * 16))
+
+
+def middle_of(sketch: np.ndarray) -> np.ndarray:
+    """The commonest value of each component."""
+    out = np.zeros(sketch.shape[1], _U64)
+    words = np.arange(sketch.shape[1])
+    for k in range(16):
+        value = ((sketch >> _U64(4 * k)) & _U64(15)).astype(np.int64)
+        votes = np.bincount((words * 16 + value).ravel(), minlength=16 * len(words)).reshape(-1, 16)
+        out |= votes.argmax(1).astype(_U64) << _U64(4 * k)
+    return out
+
+
+def lead(n: np.ndarray, sketch: np.ndarray, similarity: float, times: int = 4) -> tuple[int, np.ndarray, np.ndarray]:
+    """(place of the first leader, places of leaders, places of members that may be near them) of one bucket."""
+    rest, leaders, members = np.arange(len(n)), [], []
+    for _ in range(times):
+        if len(rest) < 2:
+            break
+        at = int(np.argmax(agreement(sketch[rest], middle_of(sketch[rest])))) if len(rest) > 2 else 0
+        leaders.append(rest[at])
+        near = may_be_near(n[rest], n[leaders[-1]], sketch[rest], sketch[leaders[-1]], similarity)
+        near[at] = False
+        members.append(rest[near])
+        near[at] = True
+        rest = rest[~near]
+    sizes = [len(m) for m in members]
+    return int(leaders[0]) if leaders else 0, np.repeat(np.array(leaders, np.int64), sizes), np.concatenate([*members, np.zeros(0, np.int64)])
+
+
+def led(entries: DataFrame, bags: DataFrame, similarity: float, block: int) -> DataFrame:
+    """a, b: pairs of a leader and a member of its bucket that may be near. `entries`: bucket, node, size."""
+    small_batches(entries.sparkSession)
+
+    def run(batches):
+        for whole in whole_groups(batches, ["bucket", "part"], block):
+            bucket, node, n, sketch = whole["bucket"].to_numpy(), whole["node"].to_numpy(), whole["n"].to_numpy(), matrix(whole["front"])
+            cut = group_edges(bucket, whole["part"].to_numpy())
+            pair = cut[:-1][np.diff(cut) == 2]  # most buckets: all at once
+            near = pair[may_be_near(n[pair], n[pair + 1], sketch[pair], sketch[pair + 1], similarity)]
+            a, b, first = [near], [near + 1], [pair]
+            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if y - x != 2:
+                    top, p, q = lead(n[x:y], sketch[x:y], similarity)
+                    a.append(x + p)
+                    b.append(x + q)
+                    first.append(np.array([x + top]))
+            a, b, first = np.concatenate(a), np.concatenate(b), np.concatenate(first)
+            # a row without b names the leader of a part
+            many = first[whole["parts"].to_numpy()[first] > 1]
+            arrays = [np.concatenate((bucket[a], bucket[many])), np.concatenate((node[a], node[many]))]
+            other = pa.concat_arrays([pa.array(node[b]), pa.nulls(len(many), pa.int64())])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), other], names=["bucket", "a", "b"])
+
+    found: DataFrame | None = None
+    most = entries.agg(F.max("size")).first()[0] or 0
+    while True:
+        parts = F.ceil(F.col("size") / block).cast("long")
+        placed = entries.select("bucket", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part")).join(bags.select("node", "n", "front"), "node")
+        out = placed.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node").mapInArrow(run, "bucket long, a long, b long")
+        out = out if most <= block else saved(out)
+        pairs = out.where("b is not null").select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+        if most <= block:
+            return found.distinct()
+        leaders = out.where("b is null").select("bucket", F.col("a").alias("node"))
+        entries = saved(leaders.join(leaders.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket"))
+        most = entries.agg(F.max("size")).first()[0] or 0
+
+
+# ---------------------------------------------------------------- across classes
+
+
+def crossed(entries: DataFrame, labels: DataFrame, bags: DataFrame, similarity: float, block: int) -> DataFrame:
+    """a, b: pairs of different classes that share a bucket and may be near; one of a pair is outside its bucket's largest class."""
+    current = entries.select("bucket", "node").join(labels, "node")
+    shares = current.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
+    mixed = shares.groupBy("bucket").agg(F.max(F.struct("members", "label")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("members").alias("size")).where("kinds > 1")
+    of = lambda c, most: F.pmod(F.xxhash64("node"), most).alias(c)
+    to = lambda c, most: F.explode(F.sequence(F.lit(0).cast("long"), most - 1)).alias(c)
+    member_parts, asker_parts = F.ceil(F.col("size") / block).cast("long"), F.ceil((F.col("size") - F.col("top.members")) / block).cast("long")
+    placed = current.join(mixed, "bucket").select("bucket", "node", "label", (F.col("label") != F.col("top.label")).alias("asks"), member_parts.alias("mp"), asker_parts.alias("ap"))
+    # every block of askers against every block of members; where there is one block of each, an asker's row is both
+    one = (F.col("mp") == 1) & (F.col("ap") == 1)
+    members = placed.select("bucket", to("i", F.col("ap")), of("j", F.col("mp")), "node", "label", (F.col("asks") & one).alias("asks"), F.lit(True).alias("answers"))
+    askers = placed.where(F.col("asks") & ~one).select("bucket", of("i", F.col("ap")), to("j", F.col("mp")), "node", "label", "asks", F.lit(False).alias("answers"))
+    rows = members.unionByName(askers).join(bags.select("node", "buckets", "n", "sketch"), "node")
+    small_batches(entries.sparkSession)
+
+    def run(batches):
+        for whole in whole_groups(batches, ["bucket", "i", "j"], block):
+            node, n, label, bucket = (whole[c].to_numpy() for c in ("node", "n", "label", "bucket"))
+            asks, answers = whole["asks"].to_numpy(), whole["answers"].to_numpy()
+            sketch, buckets = matrix(whole["sketch"]), matrix(whole["buckets"], np.int64)
+            front = np.ascontiguousarray(sketch[:, : FRONT // 16])
+            cut = group_edges(bucket, whole["i"].to_numpy(), whole["j"].to_numpy())
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                others = x + np.flatnonzero(answers[x:y])
+                for k in x + np.flatnonzero(asks[x:y]):
+                    to = others[label[others] != label[k]]
+                    to = to[~(asks[to] & (node[to] < node[k]))]  # two askers of a block meet once
+                    to = to[may_be_near(n[to], n[k], front[to], front[k], similarity)]
+                    to = to[may_be_near(n[to], n[k], sketch[to], sketch[k], similarity)]
+                    shared = np.where(buckets[to] == buckets[k], buckets[to], np.iinfo(np.int64).max)
+                    to = to[shared.min(1, initial=np.iinfo(np.int64).max) == bucket[x]]
+                    a.append(np.minimum(node[k], node[to]))
+                    b.append(np.maximum(node[k], node[to]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(run, "a long, b long")
+
+
+def group_edges(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    new = np.zeros(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.concatenate(([0], np.flatnonzero(new) + 1, [len(keys[0])])) if len(keys[0]) else np.zeros(1, np.int64)
+
+
+# ---------------------------------------------------------------- classes
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -216,39 +402,8 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return saved(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
 
 
-def rare_sharers(entries: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """bucket, node, n: for the nodes of band buckets with several classes, their rare shingles as finer buckets.
-
-    Two multisets of similarity s or more share an element among the n - ceil(s n) + 1 rarest of each, whatever order
-    is used for rarity as long as it is one for all. Texts that share a common passage and little else meet in a
-    band bucket but in none of these; no pair is lost.
-    """
-    current = entries.join(labels, "node")
-    mixed = current.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    nodes = current.join(mixed, "bucket").select("node").distinct()
-    elements = saved(elements_of(texts.join(nodes, "node"), shingle))
-    common = elements.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = elements.join(common, "element").select("node", "element", "n", "df")
-    whole = Window.partitionBy("node")
-    place = F.col("n") - F.count(F.lit(1)).over(whole) + F.row_number().over(whole.orderBy("df", "element"))  # elements of this node alone come first
-    return shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).select(F.col("element").alias("bucket"), "node", "n")
-
-
-def elements_of(texts: DataFrame, shingle: int) -> DataFrame:
-    """node, element (a shingle and which of its occurrences), n (elements of the node)."""
-
-    def run(batches):
-        for batch in batches:
-            nodes = batch.column("node").to_numpy(zero_copy_only=False)
-            for i, j, _, _, w in word_slices(batch.column("text")):
-                row, key, count = shingles(w, shingle)
-                total = np.bincount(row, count, j - i).astype(np.int64)
-                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                own = np.repeat(row, count)
-                element = mix(np.repeat(key, count) + nth.astype(_U64) * _U64(0xA0761D6478BD642F))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[i + own]), pa.array(element.view(np.int64)), pa.array(total[own])], names=["node", "element", "n"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, element long, n long")
+def text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def classes(
@@ -260,61 +415,28 @@ def classes(
     shingle: int = SHINGLE,
     bands: int = BANDS,
     rows: int = ROWS,
+    block: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """(texts, rows): per distinct text text_key, first_id, class_id, leads; per document id, text_key, class_id.
 
     `leads` marks the one distinct text that stands for its class (the one with the least id).
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_key"), text.alias("text"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     prints = signed(keyed, "text", bands, rows, shingle).drop("text")
     # any copy's signature will do: identical texts have identical ones
-    nodes = prints.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.first("band_hashes").alias("band_hashes"), F.first("n_shingles").alias("n"))
+    nodes = prints.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.first("band_hashes").alias("band_hashes"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()))
-    released(docs.sparkSession)
-    entries = nodes.select(F.explode("band_hashes").alias("bucket"), "node", "n")
-    buckets = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    entries = nodes.select(F.explode("band_hashes").alias("bucket"), "node")
+    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     entries = saved(entries.join(buckets, "bucket"))  # only buckets of two or more
-    leader = entries.where("node = leader").select("bucket", F.col("n").alias("n_a"))
-    alike = (F.least("n", "n_a") >= similarity * F.greatest("n", "n_a")) & (F.col("node") != F.col("leader"))
-    pairs = entries.where("node != leader").join(leader, "bucket").where(alike).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = entries.select("node").distinct().join(nodes.select("node", "text_key"), "node").select("node", "text_key")
+    wanted = entries.select("node").distinct().join(nodes.select("node", "text_key", F.col("band_hashes").alias("buckets")), "node")
     # one text for each candidate node: copies are dropped by key
-    texts = saved(keyed.select("text_key", "text").join(wanted, "text_key").groupBy("node").agg(F.first("text").alias("text")))
-    tested = saved(pairs)
-    links = saved(verified(tested, texts, similarity, shingle))
-    released(docs.sparkSession)
-    labels = relabelled(wanted.select("node", F.col("node").alias("label")), links)
-    opened, done, leaders = saved(rare_sharers(entries, labels, texts, similarity, shingle)), None, LEADERS
-    while True:
-        released(docs.sparkSession)
-        # a bucket of one class is done for good; elsewhere everyone outside the largest class leads once
-        current = opened.join(labels, "node")
-        shares = current.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
-        mixed = shares.groupBy("bucket").agg(F.max(F.struct("members", "label")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("members").alias("all")).where("kinds > 1")
-        opened = saved(current.join(mixed.select("bucket", F.col("top.label").alias("top"), (F.col("all") - F.col("top.members")).alias("minor")), "bucket"))
-        waiting = opened.where("label != top")
-        if done is not None:
-            waiting = waiting.join(done, ["bucket", "node"], "left_anti")
-        turn = F.pmod(F.xxhash64("node", "bucket", F.lit(0)), F.ceil(F.col("minor") / leaders)).cast("long")
-        leaders *= MORE_LEADERS
-        first_turn = waiting.groupBy("bucket").agg(F.min(turn).alias("now"))
-        chosen = saved(waiting.withColumn("turn", turn).join(first_turn, "bucket").where("turn = now").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a")))
-        if chosen.limit(1).count() == 0:
-            break
-        led = chosen.select("bucket", F.col("a").alias("node"))
-        done = led if done is None else done.union(led)
-        fresh = saved(
-            opened.join(chosen, "bucket")
-            .where((F.col("label") != F.col("label_a")) & (F.least("n", "n_a") >= similarity * F.greatest("n", "n_a")))
-            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-            .distinct()
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        opened = opened.select("bucket", "node", "n")
-        if fresh.limit(1).count():
-            tested = tested.union(fresh)
-            labels = relabelled(labels, saved(verified(fresh, texts, similarity, shingle)))
+    texts = keyed.select("text_key", "text").join(wanted, "text_key").groupBy("node").agg(F.first("buckets").alias("buckets"), F.first("text").alias("text"))
+    bags = saved(bags_of(texts, shingle))
+    links = saved(verified(led(entries, bags, similarity, block), bags, similarity))
+    labels = relabelled(bags.select("node", F.col("node").alias("label")), links)
+    links = saved(verified(crossed(entries, labels, bags, similarity, block), bags, similarity))
+    labels = relabelled(labels, links)
     grouped = nodes.join(labels, "node", "left").select("text_key", "first_id", "node", F.coalesce("label", "node").alias("label"))
     heads = grouped.groupBy("label").agg(F.min("first_id").alias("class_id"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("head"))
     named = grouped.join(heads, "label").select("text_key", "first_id", "class_id", (F.col("node") == F.col("head.node")).alias("leads"))
@@ -322,8 +444,13 @@ def classes(
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each class, the one with the least id; all columns pass through."""
+    """One document of each class, the one with the least id; all columns pass through.
+
+    Of rows with this id and text, the one whose other columns come first as JSON stays.
+    """
+    key, first, whole = (fresh_name(docs, n) for n in ("key", "first", "whole"))
     named, _ = classes(docs, id_col=id_col, text_col=text_col, **options)
-    stays = named.where("leads").select(F.col("text_key").alias("_key"), F.col("first_id").alias("_first"))
-    keyed = docs.withColumn("_key", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
-    return keyed.join(stays, "_key").where(F.col(id_col).eqNullSafe(F.col("_first"))).dropDuplicates(["_key"]).drop("_key", "_first")
+    stays = named.where("leads").select(F.col("text_key").alias(key), F.col("first_id").alias(first))
+    mine = docs.withColumn(key, text_key(F.col(text_col))).join(stays, key).where(F.col(id_col).eqNullSafe(F.col(first)))
+    rest = F.to_json(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in docs.columns if c not in {id_col, text_col}]))
+    return mine.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rest).alias(whole)).select(f"{whole}.*")

@@ -109,6 +109,38 @@ def append_columns(
     return base.mapInArrow(run, schema)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """`name` with underscores in front until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of `rows` rows or more (but for the last) out of batches sorted by `keys`; rows of a key stay together."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            whole = pa.Table.from_batches(held)
+            last = np.ones(count, bool)
+            for k in keys:
+                values = whole[k].to_numpy()
+                last &= values == values[-1]
+            cut = int(np.argmax(last))
+            if cut:
+                yield whole.slice(0, cut)
+            held = whole.slice(cut).to_batches()
+            count -= cut
+    if count:
+        yield pa.Table.from_batches(held)
+
+
 def cut(batch: pa.RecordBatch, text_col: str | None, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     if text_col is None or batch.num_rows == 0:
         yield batch

@@ -267,10 +267,15 @@ def test_signature_is_unbiased():
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.05
 
 
-def test_near_duplicates(spark, corpus):
-    texts = [t or "" for t in corpus]
-    bags = near_dup.bags(pa.array(texts), 5)
-    parent = list(range(len(texts)))
+def bag_of(text):
+    """Five-word runs and their counts, from the definition."""
+    ws = words(text)
+    return collections.Counter(tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))) if ws else collections.Counter()
+
+
+def classes_of(texts):
+    """Least index of each text's class: identical, or weighted Jaccard similarity of 0.8 or more, by union."""
+    bags, parent = [bag_of(t) for t in texts], list(range(len(texts)))
 
     def root(x):
         while parent[x] != x:
@@ -279,17 +284,57 @@ def test_near_duplicates(spark, corpus):
 
     for i in range(len(texts)):
         for j in range(i):
-            if texts[i] == texts[j] or (len(bags[i][0]) and len(bags[j][0]) and near_dup.overlap(bags[i], bags[j]) >= 0.8):
+            both = sum((bags[i] & bags[j]).values())
+            if texts[i] == texts[j] or (both and both >= 0.8 * sum((bags[i] | bags[j]).values())):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
+    return [root(i) for i in range(len(texts))]
+
+
+def test_near_duplicates(spark, corpus):
+    texts = [t or "" for t in corpus]
+    wanted = classes_of(texts)
     docs = docs_of(spark, corpus)
     _, rows = near_dup.classes(docs.repartition(3))
-    assert {r.doc_id: r.class_id for r in rows.collect()} == {i: root(i) for i in range(len(texts))}
+    assert {r.doc_id: r.class_id for r in rows.collect()} == dict(enumerate(wanted))
     kept = near_dup.keep_one(docs.union(docs).withColumn("extra", F.lit(1)))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({root(i) for i in range(len(texts))}) and "extra" in kept.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(wanted)) and "extra" in kept.columns
     assert near_dup.keep_one(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 2048])
+def test_large_buckets_lose_no_link(spark, block):
+    """A large group of near copies and one of texts that share most of a passage, whatever the size of a block."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for edits, base in ((2, 60), (1, 60), (6, 90)):
+        own = [word() for _ in range(base)]
+        for _ in range(40):
+            copy = own[:]
+            for k in rng.sample(range(base), rng.randint(0, edits)):
+                copy[k] = word()
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    _, rows = near_dup.classes(docs_of(spark, texts).repartition(5), block=block)
+    assert {r.doc_id: r.class_id for r in rows.collect()} == dict(enumerate(classes_of(texts)))
+
+
+def test_near_duplicates_on_the_whole_table(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect()]
+    wanted = classes_of([t for _, t in docs])
+    _, rows = near_dup.classes(spark.read.parquet(f"{folder}/documents.parquet"))
+    assert {r.doc_id: r.class_id for r in rows.collect()} == {docs[i][0]: docs[c][0] for i, c in enumerate(wanted)}
+
+
+def test_which_copy_stays(spark):
+    rows = [(2, "a b", "y", 1), (1, "a b", "z", 2), (1, "a b", "x", 3), (None, "c", "k", 4), (None, None, "n", 5), (7, "", "m", 6)]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, key string, _first int"))
+    assert kept.columns == ["doc_id", "text", "key", "_first"]
+    assert sorted(kept.collect(), key=lambda r: r.key) == [(None, "c", "k", 4), (7, "", "m", 6), (1, "a b", "x", 3)]
+
+
 # ---------------------------------------------------------------- 7: rules
 
 
@@ -316,7 +361,7 @@ def test_ledger(spark):
 def test_substrings(spark, corpus):
     texts = [t or "" for t in corpus] + ["ab" * 300, "z" * 250]
     raw = [t.encode() for t in texts]
-    for window, gram, most in ((60, 20, 8192), (60, 20, 1)):
+    for window, gram, most in ((60, 20, 8192), (60, 20, 2), (200, 40, 8192)):
         count = collections.Counter(b[i : i + window] for b in raw for i in range(len(b) - window + 1))
         wanted = {}
         for b in raw:
