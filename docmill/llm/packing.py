@@ -3,8 +3,8 @@
 Texts become token ids; whole windows are cut off long documents first, which leaves a remainder
 per document. For the remainders of a block the packer enumerates every combination of one to
 three lengths that fills a window exactly, solves the repeat counts against the length histogram
-by non-negative least squares, rounds them down to what is there, and packs the residual greedily
-(best fit, then pieces are cut to close the last gaps).
+by non-negative least squares, rounds them by largest remainder, makes exactly those windows, and packs
+the residual greedily (best fit, then pieces are cut to close the last gaps).
 
 Blocks are runs of rows of one task (`block_docs` at most), so there is no shuffle, nothing is
 collected, and a lost task is redone alone with the same ids: (partition, block) number the
@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import zlib
 from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,24 +158,65 @@ def combinations(present: np.ndarray, window: int) -> np.ndarray:
     return np.stack([a[ok], b[ok], c[ok]], 1)
 
 
-def solve_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """x >= 0 that brings combos' use of lengths near the histogram (multiplicative NNLS updates)."""
-    used = histogram.copy().astype(float)
-    used[0] = 0
-    a, b, c = combos.T
-
-    def from_lengths(v: np.ndarray) -> np.ndarray:
-        return v[a] + v[b] + v[c]
+def solve_counts(combos: np.ndarray, histogram: np.ndarray, close: float = 0.25, rounds: int = 4000) -> np.ndarray:
+    """x >= 0 with the least squares |use of lengths by x - histogram|, by coordinate descent on disjoint columns.
 
-    up = from_lengths(used)
-    x = up / max(1.0, len(combos) ** 0.5)
+    Each round takes the combinations with the largest exact line steps, no two of which share a length, so their
+    steps do not disturb each other. It ends when no step reaches `close` of a window. The largest steps come first, so few
+    combinations hold most of the counts and rounding loses little.
+    """
+    n = len(combos)
+    have = combos > 0
+    # squared norm of a column: a length used k times counts k * k
+    twice = ((combos[:, 0] == combos[:, 1]) & have[:, 0]).astype(int) + ((combos[:, 1] == combos[:, 2]) & have[:, 1])
+    norm = have.sum(1) + 2 * twice + 2 * (twice == 2)
+    x = np.zeros(n)
+    left = histogram.astype(float)
+    left[0] = 0
+    a, b, c = combos.T
     for _ in range(rounds):
-        made = np.bincount(a, x, len(used)) + np.bincount(b, x, len(used)) + np.bincount(c, x, len(used))
-        made[0] = 0
-        x *= up / np.maximum(from_lengths(made), 1e-12)
+        step = np.maximum((left[a] + left[b] + left[c]) / norm, -x)
+        size = np.abs(step)
+        large = np.flatnonzero(size >= max(close, size.max() / 2))
+        if not len(large):
+            break
+        large = large[np.argsort(-size[large], kind="stable")]
+        first = np.full(len(left), n)
+        place = np.arange(len(large))
+        for side in (a, b, c):
+            np.minimum.at(first, side[large], place)
+        first[0] = n
+        free = np.ones(len(large), bool)
+        for side in (a, b, c):
+            free &= (side[large] == 0) | (first[side[large]] == place)
+        go = large[free]
+        x[go] += step[go]
+        for side in (a, b, c):
+            np.subtract.at(left, side[go], step[go])
+        left[0] = 0
     return x
 
 
+def rounded(x: np.ndarray, combos: np.ndarray, histogram: np.ndarray) -> np.ndarray:
+    """Whole repeat counts by largest remainder: floors, then one more in order of the remainders (those of 0.5 and above), as far as lengths are left."""
+    left = histogram.copy()
+    left[0] = np.iinfo(np.int64).max // 4
+    times = np.zeros(len(x), np.int64)
+
+    def take(k: int, most: int) -> None:
+        sizes, counts = np.unique(combos[k][combos[k] > 0], return_counts=True)
+        n = int(min(most, (left[sizes] // counts).min()))
+        left[sizes] -= n * counts
+        times[k] += n
+
+    for k in np.argsort(-x, kind="stable")[: int((x >= 1).sum())].tolist():
+        take(k, int(x[k]))
+    rest = x - np.floor(x)
+    for k in np.argsort(-rest, kind="stable")[: int((rest >= 0.5).sum())].tolist():
+        take(k, 1)
+    return times
+
+
 class Packer:
     """Packs lengths below a window into sequences: yields (sequence, piece, taken from, taken)."""
 
@@ -184,7 +224,10 @@ class Packer:
         self.window = window
 
     def pack(self, lengths: np.ndarray) -> list[list[tuple[int, int, int]]]:
-        """Sequences as lists of (item, first id of the item, ids); every item is used up."""
+        """Sequences as lists of (item, first id of the item, ids); every item is used up.
+
+        First the windows that the rounded counts name, no others; what they leave is packed greedily.
+        """
         w = self.window
         order = np.argsort(lengths, kind="stable")
         histogram = np.bincount(lengths, minlength=w + 1)
@@ -198,15 +241,10 @@ class Packer:
 
         combos = combinations(np.unique(lengths[lengths > 0]), w)
         if len(combos):
-            x = solve_counts(combos, histogram)
-            for k in np.argsort(-x, kind="stable")[: 4 * len(lengths) + 16]:
+            times = rounded(solve_counts(combos, histogram), combos, histogram)
+            for k in np.flatnonzero(times).tolist():
                 sizes = [s for s in combos[k].tolist() if s]
-                need = defaultdict(int)
-                for s in sizes:
-                    need[s] += 1
-                times = min(max(1, int(x[k])), *(int(left[s]) // n for s, n in need.items()))
-                for _ in range(times):
-                    out.append([(pop(s), 0, s) for s in sizes])
+                out.extend([(pop(s), 0, s) for s in sizes] for _ in range(times[k]))
         out.extend(self._greedy(left, pop))
         return out
 
