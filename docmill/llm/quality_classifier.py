@@ -6,7 +6,7 @@ unbiased risk with the sigmoid loss,
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)),
 
-where a step whose second term would be negative climbs instead. The class prior is estimated
+where a step whose second term would be negative climbs on that term instead. The class prior is estimated
 from a first positive-against-unlabelled fit: the least ratio of the shares of unlabelled and of
 positive texts above a score, with a binomial margin.
 
@@ -148,8 +148,8 @@ def fit_pu(pos: np.ndarray, unl: np.ndarray, prior: float, *, width: int = 16, s
         negative_risk = s_u.mean() - prior * s_p.mean()
         if negative_risk >= 0:
             slopes = (-prior * d_p - prior * d_p) / len(p), d_u / len(u)
-        else:  # climb out: descend on the positive risk and on minus the negative one
-            slopes = (-prior * d_p + prior * d_p) / len(p), -d_u / len(u)
+        else:  # the negative risk is below zero: climb on it alone, R_u(-) - prior * R_p(-), and leave the positive risk
+            slopes = prior * d_p / len(p), -d_u / len(u)
         grads = [a + b for a, b in zip(backward(model, p, slopes[0]), backward(model, u, slopes[1]), strict=True)]
         adam.step([g + 1e-4 * a for g, a in zip(grads, adam.arrays, strict=True)])
     return model
@@ -181,23 +181,20 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000) -> PUModel | None:
-    """`labels` must already be those one may learn from; only its positives are used."""
+    """`docs` and `labels` must already be those one may learn from; of the labels only the positives are used."""
     known = one_label(labels, id_col, label_col)
     own = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     ids = docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull())
     positives = lowest_hashes(known.where("_label = 1").select("_id"), "_id", sample_rows).withColumn("_kind", F.lit(1))
     unlabelled = lowest_hashes(ids, "_id", 2 * sample_rows, seed=43).distinct().withColumn("_kind", F.lit(0))
     picked = positives.unionByName(unlabelled).groupBy("_id").agg(F.sort_array(F.collect_set("_kind")).alias("_kinds"))
-    rows = measured(rows_of(own, picked, id_col), "_text").select(id_col, "_kinds", "statistics").collect()
-    rows.sort(key=lambda r: hash((r[id_col], tuple(r["statistics"]))))
+    rows = measured(rows_of(own, picked, id_col), "_text").select(F.xxhash64(id_col).alias("_place"), "_kinds", "statistics").collect()
+    rows.sort(key=lambda r: (r["_place"], r["statistics"]))
     pos = np.array([r["statistics"] for r in rows if 1 in r["_kinds"]])
     unl = np.array([r["statistics"] for r in rows if 0 in r["_kinds"]])
     if len(pos) < 10 or len(unl) < 10:
         return None
-    model = fit_pu(pos, unl, estimate_prior(pos, unl))
-    # an overestimated prior leaves negatives near the middle: move the zero as far as trusted positives allow
-    model.out_bias -= np.clip(np.quantile(model.logits(pos), 0.01) - 2, 0, 4)
-    return model
+    return fit_pu(pos, unl, estimate_prior(pos, unl))
 
 
 def measured(docs: DataFrame, text_col: str) -> DataFrame:
