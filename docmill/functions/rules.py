@@ -78,8 +78,43 @@ ODD_CHARACTER = r"[^\w\s.,;:!?()\[\]{}'\"/\-+%=<>@#&*]"
 MOJIBAKE = r"Â|â|\x{FFFD}|\\x[0-9a-fA-F]{2}"
 PASAL_HEADING = r"^\s*Pasal\s+(?:\d+[A-Z]?|[IVXLCDM]+)\b"
 
-# Dictum words that take the place of articles.
-DICTUM = ("PERTAMA", "KESATU", "KEDUA", "KETIGA", "KEEMPAT", "KELIMA", "KEENAM", "KETUJUH", "KEDELAPAN", "KESEMBILAN", "KESEPULUH", "KESEBELAS", r"KEDUA\s*BELAS", r"KETIGA\s*BELAS")
+# Dictum words that take the place of articles, in the order in which they are tried. The compounds stand before
+# their first words, so a line with KEDUA BELAS is read whole (the other order would read it as KEDUA).
+DICTUM = (r"KETIGA\s*BELAS", r"KEDUA\s*BELAS", "KESEBELAS", "KESEPULUH", "KESEMBILAN", "KEDELAPAN", "KETUJUH", "KEENAM", "KELIMA", "KEEMPAT", "KETIGA", "KEDUA", "KESATU", "PERTAMA")
+
+# Lines that are no text: page numbers, letterheads, web stamps (upper case), serial stamps (upper case).
+PAGE_NUMBER_LINE = r"\A-\s*\d+\s*-\z"
+LETTERHEAD_LINE = r"\A(?:PRES\s*I?DEN|REPUBLIK\s+INDONESIA)\z"
+WEB_STAMP = r"\bJDIH\b|WWW\."
+SERIAL_STAMP_LINE = r"\A(?:SK|SL|S1|SI)[(<]?\s*NO\s+[A-Z0-9\s./|'-]+\z"
+
+# Where a body begins, its explanation and its appendix begin, and headings that only close it.
+BODY_START = r"(?i)(?:\A|\n)(?:BAB\s+I\b|Pasal\s+1\b|PERTAMA\b|KESATU\b)"
+EXPLANATION = r"(?i)\bPENJELASAN\s+ATAS\b"
+APPENDIX = (
+    r"(?im)^\s*LAMPIRAN\s+(?:PERATURAN|UNDANG[-\s]?UNDANG|KEPUTUSAN|INSTRUKSI)\b",
+    r"(?is)\bL\s*A\s*M\s*P[^\n]{0,40}?\b(?:PERATURAN|UNDANG[-\s]?UNDANG|KEPUTUSAN|INSTRUKSI)\b.{0,300}?\b(?:NOMOR|TENTANG)\b",
+    r"(?im)^\s*L\s*A\s*M\s*P[^\n]{0,20}(?:\b[IVXLCDM]+\b|\b\d+\b)?\s*$(?=[\s\S]{0,1200}?\b(?:PERATURAN|UNDANG[-\s]?UNDANG|KEPUTUSAN|INSTRUKSI)\b[\s\S]{0,250}\b(?:NOMOR|TENTANG)\b)",
+)
+STRUCTURAL = r"(?i)\A(?:BAB\s+(?:[IVXLCDM]+|\d+)|Bagian\s+Ke\w+|Paragraf\s+\w+)\z"
+DEFINITIONS = r"(?is)\A\s*Dalam\s+(?:Peraturan|Undang-Undang|Keputusan|Instruksi|Peraturan\s+\w+)(?:\s+\w+){0,8}\s+ini\s+yang\s+dimaksud\s+dengan\s*:\s*"
+
+# What an answer or a corrector's output is cleared of, in this order.
+EMOJI = "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}]+"
+ANSWER_STEPS = (
+    (EMOJI, ""),
+    (r"(?s)```.*?```", ""),
+    (r"\*\*(.*?)\*\*", "$1"),
+    (r"\*(.*?)\*", "$1"),
+    (r"(?m)^#{1,6}\s*", ""),
+    (r"(?i)\s*\[(?:R\d+(?:\s*,\s*)?)+\]", ""),
+    (r"(?i)(?:\n\s*Referensi\s*:\s*)[\s\S]*\z", ""),
+    (r"\n\s*[-=*]{3,}\s*\n", "\n"),
+)
+OUTPUT_STEPS = ((r"(?i)\A```(?:text)?\s*", ""), (r"\s*```\z", ""), (r"(?i)\A\s*(?:Hasil koreksi|Teks hasil koreksi)\s*:\s*", ""))
+
+# Keywords that scans space out.
+SPACED_WORDS = ("Pasal", "BAB", "TENTANG", "MEMUTUSKAN")
 
 # Query expansion: any trigger in the query adds the expansion.
 EXPANSIONS = (

@@ -23,13 +23,19 @@ def citations(answers: DataFrame, *, keep: tuple[str, ...] = ("query_id",)) -> D
     return named.select(*keep, label.alias("label"), q.regulation_kind(F.col("c.t")).alias("kind"), F.trim("c.n").alias("nomor"), F.col("c.y").alias("year"))
 
 
+def published(docs: DataFrame) -> Column:
+    """Year of publication as text, else the year where `docs` has one."""
+    year = F.col("year") if "year" in docs.columns else F.lit(None)
+    return F.coalesce(F.nullif(F.col("publication_year").cast("string"), F.lit("0")), year.cast("string"))
+
+
 def validated(answers: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, cited, invalid (sorted sets), ok. docs: query_id, regulation_type, nomor, publication_year.
 
     An answer holds if all it cites is among its documents and it cites something or says that the
     matter is out of scope.
     """
-    known = docs.select("query_id", q.regulation_kind(F.col("regulation_type")).alias("kind"), F.trim("nomor").alias("nomor"), F.col("publication_year").cast("string").alias("year"), F.lit(True).alias("known")).distinct()
+    known = docs.select("query_id", q.regulation_kind(F.col("regulation_type")).alias("kind"), F.trim("nomor").alias("nomor"), published(docs).alias("year"), F.lit(True).alias("known")).distinct()
     judged = citations(answers).join(known, ["query_id", "kind", "nomor", "year"], "left")
     sets = judged.groupBy("query_id").agg(F.array_sort(F.collect_set("label")).alias("cited"), F.array_sort(F.collect_set(F.when(F.col("known").isNull(), F.col("label")))).alias("invalid"))
     none = F.array().cast("array<string>")
@@ -47,7 +53,7 @@ def bracket_errors(answer: Column, n_docs: Column) -> Column:
 def cited_documents(answers: DataFrame, docs: DataFrame, pasal_col: str = "pasal_id") -> DataFrame:
     """Documents an answer cites, the first of each article."""
     keys = citations(answers).select("query_id", "kind", "nomor", "year").distinct()
-    own = docs.withColumn("kind", q.regulation_kind(F.col("regulation_type"))).withColumn("nomor", F.trim("nomor")).withColumn("year", F.col("publication_year").cast("string"))
+    own = docs.withColumn("kind", q.regulation_kind(F.col("regulation_type"))).withColumn("nomor", F.trim("nomor")).withColumn("year", published(docs))
     found = own.join(keys, ["query_id", "kind", "nomor", "year"], "left_semi")
     return top(found, 1, [F.col("rank")], ("query_id", "kind", "nomor", "year", *([pasal_col] if pasal_col in docs.columns else [])), "_n").drop("_n", "kind", "year")
 
@@ -69,18 +75,21 @@ def extractive(docs: DataFrame, *, per_doc: int = 2, most: int = 6, excerpt: int
 
 
 def answered(questions: DataFrame, generated: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, answer, ok, source: the generated answer if it holds, else the extractive one, else the apology."""
+    """query_id, answer, ok, source: the generated answer if it holds, else the extractive one, else the apology.
+
+    `ok` is the verdict on the answer that is returned, so the extractive one is checked again.
+    """
     clean = generated.select("query_id", tx.sanitized(F.col("answer")).alias("answer"))
     checked = clean.join(validated(clean, docs).select("query_id", "ok"), "query_id").select("query_id", F.col("answer").alias("_gen"), F.col("ok").alias("_ok"))
     back = extractive(docs).select("query_id", F.col("answer").alias("_ext"))
     joined = questions.select("query_id").join(checked, "query_id", "left").join(back, "query_id", "left")
     holds = F.coalesce("_ok", F.lit(False))
-    return joined.select(
+    chosen = joined.select(
         "query_id",
         F.when(holds, F.col("_gen")).otherwise(F.coalesce("_ext", F.lit(rules.NO_CONTEXT_ANSWER))).alias("answer"),
-        holds.alias("ok"),
         F.when(holds, "generated").when(F.col("_ext").isNotNull(), "extractive").otherwise("none").alias("source"),
     )
+    return chosen.join(validated(chosen, docs).select("query_id", "ok"), "query_id").select("query_id", "answer", "ok", "source")
 
 
 def generate(prompts: DataFrame, model: Callable[[list[str]], list[str]], *, out: str = "answer") -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import quality as q
 from ..functions import rules
 from ..functions import text as tx
 from ..schemas import CONTEXT_FIELDS
-from .structure import with_long_parts
+from .structure import long_parts
 
 
 def repair_duplicate_ids(chunks: DataFrame, *, order_col: str = "ord", source: Column | None = None, pasal: Column | None = None) -> DataFrame:
@@ -64,7 +64,7 @@ def finalize(chunks: DataFrame, sources: DataFrame, *, max_words: int = 450, ove
     rows = rows.withColumn("reasons", q.quarantine_reasons(noise, artifacts, max_noise, max_artifacts)).withColumn("review", F.size("reasons") > 0)
     rows = rows.where(~F.col("review")) if drop_quarantined else rows
     rows = rows.withColumn("_body", tx.cleaned(tx.before_appendix(F.col("text")))).where("_body != ''")
-    rows = with_long_parts(rows, "_body", "_parts", max_words=max_words, overlap_words=overlap_words)
+    rows = rows.withColumn("_parts", long_parts(F.col("_body"), max_words, overlap_words))
     parts = rows.select("*", F.size("_parts").alias("part_count"), F.posexplode("_parts").alias("_at", "part")).withColumn("part_index", F.col("_at") + 1)
     pasal = F.coalesce("metadata.pasal_id", F.lit(""))
     split = F.col("part_count") > 1
@@ -98,7 +98,7 @@ def finalize(chunks: DataFrame, sources: DataFrame, *, max_words: int = 450, ove
 def report(chunks: DataFrame, final: DataFrame) -> DataFrame:
     """One row of counters."""
     suspicious = q.suspicious_reasons(F.col("text"), F.col("metadata.nomor"), F.col("metadata.year"), F.col("metadata.tentang"), F.col("metadata.pasal_id"))
-    a = chunks.agg(F.count(F.lit(1)).alias("input_chunks"), F.approx_count_distinct("metadata.source_file").alias("input_sources"))
+    a = chunks.agg(F.count(F.lit(1)).alias("input_chunks"), F.count_distinct("metadata.source_file").alias("input_sources"))
     b = final.agg(
         F.count(F.lit(1)).alias("output_chunks"),
         F.sum(F.when(F.col("metadata.quality_status") == "needs_review", 1).otherwise(0)).alias("review_chunks"),
@@ -115,8 +115,10 @@ def replace_sources(base: DataFrame, new: DataFrame, key: str = "source_file") -
 # ---------------------------------------------------------------- corrections
 
 
-def cache_key(text: Column, model: Column) -> Column:
-    return F.sha1(F.to_json(F.struct(model.alias("model"), text.alias("text"))).cast("binary"))
+def cache_key(chunk_id: Column, text: Column, *, provider: str, model: str) -> Column:
+    """Of a correction: who made it, and of which text of which chunk."""
+    parts = F.struct(chunk_id.alias("id"), F.lit(model).alias("model"), F.lit(provider).alias("provider"), F.coalesce(text, F.lit("")).alias("text"))
+    return F.sha1(F.to_json(parts, {"ignoreNullFields": "false"}).cast("binary"))
 
 
 def last_writes(cache: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -124,13 +126,13 @@ def last_writes(cache: DataFrame, key: str, value: str, order: str) -> DataFrame
     return cache.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
-def corrected(chunks: DataFrame, cache: DataFrame, *, only_review: bool = False, only_suspect: bool = True, min_words: int = 0) -> DataFrame:
+def corrected(chunks: DataFrame, cache: DataFrame, *, provider: str, model: str, only_review: bool = False, only_suspect: bool = True, min_words: int = 0) -> DataFrame:
     """Chunks with cached corrections applied to those that need one; `cache`: cache_key, corrected_text.
 
-    What the cache lacks keeps its text and is marked `missing`, for a model to fill.
+    What the cache lacks keeps its text and is marked `missing`, for a model to fill (`corrections`).
     """
     wanted = q.needs_correction(F.col("text"), F.col("metadata.quality_status"), only_review=only_review, only_suspect=only_suspect, min_words=min_words)
-    keyed = chunks.withColumn("_wanted", wanted).withColumn("cache_key", cache_key(F.col("text"), F.lit("corrector")))
+    keyed = chunks.withColumn("_wanted", wanted).withColumn("cache_key", cache_key(F.col("id"), F.col("text"), provider=provider, model=model))
     joined = keyed.join(cache.select("cache_key", "corrected_text"), "cache_key", "left")
     done = F.col("_wanted") & F.col("corrected_text").isNotNull()
     return (
@@ -141,6 +143,21 @@ def corrected(chunks: DataFrame, cache: DataFrame, *, only_review: bool = False,
     )
 
 
+def corrections(chunks: DataFrame, ask, *, provider: str, model: str) -> DataFrame:
+    """cache_key, chunk_id, corrected_text, error of the chunks marked `missing`, by any `ask` of text lists; a batch that fails keeps its error and gives no text."""
+    keyed = chunks.where("missing").select(cache_key(F.col("id"), F.col("text"), provider=provider, model=model).alias("cache_key"), F.col("id").alias("chunk_id"), "text")
+
+    def run(batches):
+        for pdf in batches:
+            try:
+                pdf["corrected_text"], pdf["error"] = [None if t is None else str(t) for t in ask(pdf["text"].tolist())], None
+            except Exception as error:  # noqa: BLE001  a failed call is recorded, the run goes on
+                pdf["corrected_text"], pdf["error"] = None, str(error)
+            yield pdf.drop(columns="text")
+
+    return keyed.mapInPandas(run, "cache_key string, chunk_id string, corrected_text string, error string")
+
+
 def best_page(pages: DataFrame, priority: tuple[str, ...] = ("pymupdf", "pdfplumber")) -> DataFrame:
     """Each page by the extractor with the best score; ties go by priority, then by name."""
     rank = F.coalesce(*[F.when(F.col("extractor") == e, F.lit(i)) for i, e in enumerate(priority)], F.lit(len(priority)))
@@ -149,10 +166,15 @@ def best_page(pages: DataFrame, priority: tuple[str, ...] = ("pymupdf", "pdfplum
 
 
 def document_text(pages: DataFrame) -> DataFrame:
-    """doc_id, text: pages with text in order, a blank line between them; extractor_counts."""
+    """doc_id, text: pages with text in order, a blank line between them; page_count; extractor_counts where pages name their extractor."""
+    counts = []
+    if "extractor" in pages.columns:
+        names = F.array_sort(F.collect_list("extractor"))
+        counts = [F.to_json(F.map_from_entries(F.transform(F.array_distinct(names), lambda e: F.struct(e, F.size(F.filter(names, lambda x: x == e)))))).alias("extractor_counts")]
     return pages.groupBy("doc_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("page_number", "text")))), lambda p: p["text"]), "\n\n").alias("text"),
         F.count(F.lit(1)).alias("page_count"),
+        *counts,
     )
 
 

@@ -21,9 +21,22 @@ def query_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)([a-zA-Z0-9_]+|[À-ɏḀ-ỿ]+|\w+)"), F.lit(1))
 
 
-def postings(docs: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id, term, tf."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+#: Terms up to which a batch of questions is broadcast to the texts.
+BROADCAST_TERMS = 200_000
+
+
+def postings(docs: DataFrame, *, id_col: str = "id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """id, term, tf; of `terms` (term) alone where given, so that nothing else is shuffled."""
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term"))
+    if terms is not None:
+        asked = terms.select("term").distinct()
+        rows = rows.join(F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked, "term", "left_semi")
+    return rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def document_frequencies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """term, df: terms are counted once a text where it lies, so partial sums are all that is shuffled."""
+    return docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def doc_lengths(docs: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -31,9 +44,9 @@ def doc_lengths(docs: DataFrame, *, id_col: str = "id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("id"), F.size(tokens(F.col(text_col))).cast("long").alias("dl"))
 
 
-def term_stats(posted: DataFrame, n_docs: int, *, epsilon: float = rules.BM25_EPSILON, floor: bool = True) -> DataFrame:
+def term_stats(frequencies: DataFrame, n_docs: int, *, epsilon: float = rules.BM25_EPSILON, floor: bool = True) -> DataFrame:
     """term, df, idf; negative idf is replaced by epsilon times the mean idf, or kept with floor=False."""
-    stats = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    stats = frequencies.select("term", "df").withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     if not floor:
         return stats.select("term", "df", F.col("raw").alias("idf"))
     mean = stats.agg(F.avg("raw")).first()[0] or 0.0

@@ -8,7 +8,7 @@ Ties always fall to the input order or the id, so results do not depend on parti
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -165,6 +165,40 @@ def dedupe_top(hits: DataFrame, k: int, *, score: str = "final_score", ties: tup
 # ---------------------------------------------------------------- queries
 
 
+def by_ids(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with the columns of their chunks; what the chunks lack is left out."""
+    return hits.join(chunks, "id")
+
+
+def hybrid(dense_hits: DataFrame, chunks: DataFrame, k: int, *, meta: Column, sparse: DataFrame | None = None, kind: str = "domain", domain: Column | None = None) -> DataFrame:
+    """The k best chunks of each query: dense and lexical hits fused and boosted, or dense hits alone; one a (source, article, kind, index)."""
+    fused = dense_only(dense_hits) if sparse is None else fuse((dense_hits, "dense_distance", rules.DENSE_WEIGHT), (sparse, "bm25_score", rules.SPARSE_WEIGHT))
+    rows = by_ids(fused, chunks)
+    rows = rows if domain is None else rows.where(domain)
+    rows = rows.withColumn("final_score", F.round(boost(kind, meta, F.col("rrf_score"), domain), TIE_DIGITS))
+    return dedupe_top(rows, k, ties=("first_source", "first_rank", "id"))
+
+
+def retrieve_context(queries: DataFrame, search: Callable[[DataFrame], DataFrame], chunks: DataFrame, k: int, *, haystack: Column, narrow: Column, merge: str = "first", scorer=None, depth: int | None = None) -> DataFrame:
+    """From questions (query_id, query) to their context: variants, search, merge, rerank, relevance.
+
+    `search` takes variants (query_id, variant, query) and gives hits (query_id, variant, id, rank, final_score).
+    Out: the chunks' columns with query_id, query, rank, context_relevance_score, context_rank.
+    """
+    depth = max(6 * k, 18) if depth is None else depth
+    hits = merge_candidates(search(query_variants(queries)), merge)
+    order = [F.col("variant"), F.col("rank"), F.col("id")] if merge == "first" else [F.desc("final_score"), F.col("variant"), F.col("rank"), F.col("id")]
+    met = top(hits, depth, order, rank="_met").drop("rank").withColumnRenamed("_met", "rank")
+    rows = by_ids(met, chunks).join(queries.select("query_id", "query"), "query_id")
+    rows = rerank(rows, depth, None if scorer is None else lambda query, text: scorer(expanded(query), text))
+    return relevant(rows, k, haystack=haystack, narrow=narrow)
+
+
+def first_of_each(docs: DataFrame, limit: int, *, key: tuple[str, ...] = ("source_file", "pasal_id", "chunk_index", "id")) -> DataFrame:
+    """Context documents without repeats, in order of rank; `limit` a query."""
+    return top(top(docs, 1, [F.col("rank")], ("query_id", *key), "_of_key").drop("_of_key"), limit, [F.col("rank")], rank="place")
+
+
 def expanded(query: Column, expansions=rules.EXPANSIONS) -> Column:
     """The query with the expansions that any of their triggers calls for."""
     low = F.lower(query)
@@ -221,10 +255,10 @@ def relevant(docs: DataFrame, k: int, *, haystack: Column, narrow: Column, order
     value = F.col("context_relevance_score")
     overlap = F.bround(F.greatest(value, F.lit(0.0)) * F.greatest(terms, F.lit(1)))
     fits = specific_overlap(query, narrow) & ((terms == 0) | (overlap >= 1)) & (value > 0)
-    whole = Window.partitionBy("query_id")
-    ranked = judged.withColumn("_fits", fits).withColumn("_any", F.max("_fits").over(whole)).withColumn("_first", F.row_number().over(whole.orderBy(order)))
-    kept = ranked.where(F.col("_fits") | (~F.col("_any") & (F.col("_first") == 1)))
-    return top(kept.withColumn("context_relevance_score", F.when(F.col("_fits"), value)), k, [F.desc("context_relevance_score"), F.col(order)], rank="context_rank").drop("_fits", "_any", "_first")
+    best = top(judged.where(fits), k, [F.desc("context_relevance_score"), F.col(order)], rank="context_rank")
+    # both tops keep a few rows a query and task before their shuffle; no query's rows meet as a whole
+    first = top(docs.withColumn("context_relevance_score", F.lit(None).cast("double")), 1, [F.col(order)], rank="context_rank")
+    return best.unionByName(first.join(best.select("query_id").distinct(), "query_id", "left_anti"))
 
 
 def reference_key(kind: Column, nomor: Column, published: Column, year: Column) -> list[Column]:
@@ -269,6 +303,6 @@ def context_text(docs: DataFrame, *, citation: Column, text: Column, longest: in
 
 
 def reference_list(docs: DataFrame, citation: Column) -> DataFrame:
-    """query_id, citation, place: distinct citations in order of first appearance."""
+    """query_id, citation, place: distinct citations in order of first appearance. A query's documents are the few of its context."""
     first = docs.select("query_id", "rank", citation.alias("citation")).groupBy("query_id", "citation").agg(F.min("rank").alias("rank"))
     return top(first, 1 << 30, [F.col("rank"), F.col("citation")], rank="place").select("query_id", "citation", "place")

@@ -111,9 +111,10 @@ idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw
 
 def lexical(spark: SparkSession, d: str, questions: DataFrame) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    posted, lengths = ix.postings(docs), ix.doc_lengths(docs)
+    terms = questions.select(F.explode(ix.tokens(F.col("query"))).alias("term"))
+    posted, lengths = ix.postings(docs, terms=terms), ix.doc_lengths(docs)
     n, avgdl = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    return rt.bm25(questions, posted, lengths, ix.term_stats(posted, n), avgdl=avgdl)
+    return rt.bm25(questions, posted, lengths, ix.term_stats(ix.document_frequencies(docs), n), avgdl=avgdl)
 
 
 # ---------------------------------------------------------------- index and retrieval
@@ -135,7 +136,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return ix.term_stats(ix.postings(docs), docs.count()).select("term", "df", r6(F.col("idf")).alias("idf"))
+    return ix.term_stats(ix.document_frequencies(docs), docs.count()).select("term", "df", r6(F.col("idf")).alias("idf"))
 
 
 @query(f"WITH {BM25_SQL} SELECT id, CAST(dl AS BIGINT) AS dl FROM dl")
@@ -220,9 +221,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 """)
 def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     dense, sparse = hybrid_hits(spark, d)
-    fused = rt.fuse((dense, "dense_distance", rules.DENSE_WEIGHT), (sparse, "bm25_score", rules.SPARSE_WEIGHT))
-    rows = fused.join(chunks_view(spark, d), "id").where(in_domain()).withColumn("final_score", F.round(rt.boost("domain", meta(), F.col("rrf_score"), in_domain()), 9))
-    return rt.dedupe_top(rows, 8, ties=("first_source", "first_rank", "id")).select("query_id", "id", r6(F.col("final_score")).alias("final_score"), "rank")
+    return rt.hybrid(dense, chunks_view(spark, d), 8, meta=meta(), sparse=sparse, domain=in_domain()).select("query_id", "id", r6(F.col("final_score")).alias("final_score"), "rank")
 
 
 @query(f"""
@@ -379,13 +378,14 @@ def xref_expand(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {CHUNKS}
+WITH {CHUNKS}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY ord) AS rank FROM c) WHERE rank <= 10)
 SELECT a.lang AS query_id, a.id, sha256(string_agg(CASE WHEN b.id = a.id THEN '>>> ' || b.text || ' <<<' ELSE b.text END, chr(10) ORDER BY b.chunk_index, b.ord)) AS text_sha256
-FROM c a JOIN c b ON a.source_file = b.source_file AND a.pasal_id = b.pasal_id GROUP BY a.lang, a.id
+FROM h a JOIN c b ON a.source_file = b.source_file AND a.pasal_id = b.pasal_id GROUP BY a.lang, a.id
 """)
 def sibling_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """The articles around the first ten hits of each query."""
     rows = chunks_view(spark, d)
-    both = rt.siblings(rows.withColumn("query_id", F.col("lang")), rows)
+    both = rt.siblings(rt.top(rows.withColumn("query_id", F.col("lang")), 10, [F.col("ord")]), rows)
     return both.select("query_id", "id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
@@ -402,12 +402,14 @@ def context_assembly(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {CHUNKS}, t AS (SELECT lang, regulation_type || ' No. ' || nomor || ' Tahun ' || publication_year || ', ' || pasal_id AS citation, min(id) AS rank FROM c GROUP BY ALL)
+WITH {CHUNKS}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY id) AS k FROM c) WHERE k <= 200),
+t AS (SELECT lang, regulation_type || ' No. ' || nomor || ' Tahun ' || publication_year || ', ' || pasal_id AS citation, min(id) AS rank FROM h GROUP BY ALL)
 SELECT lang AS query_id, citation, CAST(row_number() OVER (PARTITION BY lang ORDER BY rank, citation) AS INTEGER) AS place FROM t
 """)
 def reference_listing(spark: SparkSession, d: str) -> DataFrame:
-    rows = chunks_view(spark, d).withColumn("query_id", F.col("lang")).withColumn("rank", F.col("id"))
-    return rt.reference_list(rows, md.compact_citation(meta()))
+    """The citations of each query's first 200 documents."""
+    rows = chunks_view(spark, d).withColumn("query_id", F.col("lang"))
+    return rt.reference_list(rt.top(rows, 200, [F.col("id")]), md.compact_citation(meta()))
 
 
 MERGE_SQL = """
@@ -474,11 +476,15 @@ def best_extractor(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT source AS doc_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY doc_id) FILTER (trim(text, ' ') <> '')) AS text_sha256, count(*) AS page_count FROM documents GROUP BY source
+WITH p AS (SELECT doc_id // 8 AS doc, doc_id, text, 'e' || doc_id % 3 AS e FROM documents),
+x AS (SELECT doc, '{' || string_agg('"' || e || '":' || n, ',' ORDER BY e) || '}' AS extractor_counts FROM (SELECT doc, e, count(*) AS n FROM p GROUP BY ALL) GROUP BY doc)
+SELECT p.doc AS doc_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY doc_id) FILTER (trim(text, ' ') <> '')) AS text_sha256, count(*) AS page_count, min(extractor_counts) AS extractor_counts FROM p JOIN x ON x.doc = p.doc GROUP BY p.doc
 """)
 def document_text(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), "text")
-    return fin.document_text(pages).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "page_count")
+    """Eight pages a document."""
+    i = F.col("doc_id")
+    pages = table(spark, d, "documents").select(F.floor(i / 8).cast("long").alias("doc_id"), i.alias("page_number"), "text", F.concat(F.lit("e"), (i % 3).cast("string")).alias("extractor"))
+    return fin.document_text(pages).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "page_count", "extractor_counts")
 
 
 @query(f"""
@@ -568,10 +574,27 @@ def token_windows(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("doc_id", (F.col("k") + 1).alias("part"), F.md5(F.col("t").cast("binary")).alias("part_md5"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE src AS (SELECT doc_id, text, regexp_extract_all(text, '\S+') AS ws FROM documents),
+units AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '([.;:])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda u: regexp_matches(u, '\S')) AS us FROM src WHERE len(ws) > 450),
+sizes AS (SELECT doc_id, list_transform(us, lambda u: len(regexp_extract_all(u, '\S+'))) AS ns FROM units),
+fold AS (
+  SELECT doc_id, ns, 1 AS k, 0 AS seen, 0 AS size, 0 AS start, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS cuts FROM sizes
+  UNION ALL
+  SELECT doc_id, ns, k + 1, seen + n, CASE WHEN n > 450 THEN 0 WHEN size > 0 AND size + n > 450 THEN least(60, seen - start) + n ELSE size + n END,
+         CASE WHEN n > 450 THEN seen + n WHEN size > 0 AND size + n > 450 THEN seen - least(60, seen - start) WHEN size = 0 THEN seen ELSE start END,
+         CASE WHEN (n > 450 AND size > 0) OR (size > 0 AND size + n > 450) THEN [{'s': start, 'e': seen}] ELSE [] END
+           || CASE WHEN n > 450 THEN list_transform(range(0, n, 390), lambda i: {'s': seen + i, 'e': seen + least(i + 450, n)}) ELSE [] END
+  FROM (SELECT *, ns[k] AS n FROM fold WHERE k <= len(ns))),
+ends AS (SELECT doc_id, k, unnest(cuts) AS c, generate_subscripts(cuts, 1) AS j FROM fold WHERE len(cuts) > 0
+         UNION ALL SELECT doc_id, k + 1, {'s': start, 'e': seen}, 1 FROM fold WHERE k > len(ns) AND size > 0),
+parts AS (SELECT e.doc_id, row_number() OVER (PARTITION BY e.doc_id ORDER BY k, j) - 1 AS pos, array_to_string(ws[c.s + 1:c.e], ' ') AS part, c.e - c.s AS n FROM ends e JOIN src ON src.doc_id = e.doc_id
+          UNION ALL SELECT doc_id, 0, array_to_string(ws, ' '), len(ws) FROM src WHERE len(ws) <= 450)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(part) AS part_md5, CAST(n AS INTEGER) AS n_words FROM parts
+""")
 def long_split(spark: SparkSession, d: str) -> DataFrame:
-    parts = st.with_long_parts(table(spark, d, "documents").select("doc_id", "text"), "text", "parts")
-    return parts.select("doc_id", F.posexplode("parts").alias("at", "part")).select("doc_id", "at", F.md5(F.col("part").cast("binary")).alias("part_md5"), q.n_words(F.col("part")).alias("n_words"))
+    parts = table(spark, d, "documents").select("doc_id", F.posexplode(st.long_parts(F.col("text"))).alias("pos", "part"))
+    return parts.select("doc_id", "pos", F.md5(tx.squeeze(F.col("part")).cast("binary")).alias("part_md5"), q.n_words(F.col("part")).alias("n_words"))
 
 
 @query()

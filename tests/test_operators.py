@@ -1,6 +1,7 @@
 """Structure, finalisation, ranking, answers and evaluation on small frames."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -58,14 +59,33 @@ def test_chunks(spark):
     assert rows[0].display_text.split("\n")[1] == "BAB I - Ketentuan Umum"
 
 
-def test_long_split_keeps_all_words():
+def test_long_split_equals_a_plain_reading(spark):
+    """A part is filled unit by unit and leads the next with its last words; a unit beyond a part is windows of its own."""
     rng = random.Random(1)
-    for _ in range(30):
-        text = " ".join(rng.choice(["kata", "akhir.", "butir;", "x"]) for _ in range(rng.randint(1, 300)))
-        parts = st.pack_units(text, 40, 6)
-        assert set(" ".join(parts).split()) == set(text.split())
-        assert max(len(p.split()) for p in parts) <= 46
-    assert st.pack_units("a b", 40, 6) == ["a b"]
+    texts = ["a b", "a  b", "", " ", None] + [" ".join(rng.choice(["kata", "akhir.", "butir;", "x", "x", "b\nc"]) for _ in range(rng.randint(1, 300))) for _ in range(40)]
+    texts += ["x " * 100, "a. " + "y " * 95 + "z. w"]
+
+    def plain(text, most=40, overlap=6):
+        if text is None:
+            return None
+        if len(text.split()) <= most:
+            return [text]
+        out, now = [], []
+        for unit in filter(None, map(str.strip, re.split(r"(?<=[.;:])\s+|\n+", text))):
+            n = unit.split()
+            if len(n) > most:
+                out += [" ".join(now)] if now else []
+                out += [" ".join(n[i : i + most]) for i in range(0, len(n), most - overlap)]
+                now = []
+                continue
+            if now and sum(len(x.split()) for x in now) + len(n) > most:
+                out.append(" ".join(now))
+                now = [" ".join(out[-1].split()[-overlap:])]
+            now.append(unit)
+        return out + ([" ".join(now)] if now else [])
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", st.long_parts(F.col("t"), 40, 6).alias("p")).collect()
+    assert {r.i: r.p for r in rows} == {i: plain(t) for i, t in enumerate(texts)}
 
 
 def test_asof_and_referenced(spark):
@@ -73,7 +93,7 @@ def test_asof_and_referenced(spark):
     right = spark.createDataFrame([("u", 2, 10), ("u", 5, 11)], "k string, t int, w int")
     assert {(r.v, r.w) for r in st.asof(left, right, by="k", on="t", values=["w"]).collect()} == {("x", 11), ("y", None)}
     got = spark.createDataFrame([("Pasal 5, pasal 7a dan Pasal 5",)], "t string").select(st.referenced_articles(F.col("t"))).first()[0]
-    assert got == ["Pasal 5", "Pasal 7A"]
+    assert got == ["Pasal 5", "Pasal 7a"]
 
 
 def test_clauses(spark):
@@ -96,9 +116,15 @@ def test_finalize(spark):
 
 def test_corrections(spark):
     chunks = spark.createDataFrame([("a", "naik 12 olo"), ("b", "baik"), ("c", "tahun 2o14")], "id string, text string").withColumn("metadata", F.struct(F.lit("ok").alias("quality_status")))
-    cache = chunks.where("id = 'a'").select(fin.cache_key(F.col("text"), F.lit("corrector")).alias("cache_key"), F.lit("naik 12%").alias("corrected_text"))
-    rows = {r.id: (r.text, r.llm_typo_corrected, r.missing) for r in fin.corrected(chunks, cache).collect()}
+    cache = chunks.where("id = 'a'").select(fin.cache_key(F.col("id"), F.col("text"), provider="p", model="m").alias("cache_key"), F.lit("naik 12%").alias("corrected_text"))
+    rows = {r.id: (r.text, r.llm_typo_corrected, r.missing) for r in fin.corrected(chunks, cache, provider="p", model="m").collect()}
     assert rows == {"a": ("naik 12%", True, False), "b": ("baik", False, False), "c": ("tahun 2o14", False, True)}
+    assert fin.corrected(chunks, cache, provider="p", model="other").where("llm_typo_corrected").count() == 0
+    left = fin.corrected(chunks, cache, provider="p", model="m")
+    made = fin.corrections(left, lambda texts: [t.upper() for t in texts], provider="p", model="m").collect()
+    assert [(r.chunk_id, r.corrected_text, r.error) for r in made] == [("c", "TAHUN 2O14", None)]
+    failed = fin.corrections(left, lambda texts: 1 / 0, provider="p", model="m").first()
+    assert failed.corrected_text is None and "zero" in failed.error
 
 
 def test_rrf_is_symmetric_and_dedupe_is_unique(spark):
@@ -191,3 +217,17 @@ def test_dense_in_blocks_equals_brute_force(spark, monkeypatch, rows):
         wanted |= {(f"q{i}", k + 1): order[k] for k in range(4)}
     assert got == wanted
     assert rt.dense(queries.limit(0), vectors, 4).count() == 0 and rt.dense(queries, vectors.limit(0), 4).count() == 0
+
+
+def test_links_are_resolved_against_their_page(spark):
+    from urllib.parse import urljoin
+
+    pages = ["https://a.org", "https://a.org/", "https://a.org/x/y.html", "https://a.org/x/y/?q=1#f"]
+    found = ["/f/1.pdf", "f.pdf", "../f.pdf", "./g/../f.pdf", "//b.org/z.pdf", "HTTP://c.org/k.pdf", "?d=2", "#top", "../../..//f.pdf", "a/./b/", "a/.."]
+    rows = spark.createDataFrame([(p, f) for p in pages for f in found], "p string, f string")
+    got = {(r.p, r.f): r.u for r in rows.select("p", "f", st.absolute(F.col("f"), F.col("p")).alias("u")).collect()}
+    wanted = {(p, f): urljoin(p, f) for p in pages for f in found}
+    assert {k: v for k, v in got.items() if v != wanted[k]} == {}
+    html = ['<div data-pdf-url="x.pdf" class="k" id="pdf-viewer">', "<DIV ID='pdf-viewer' data-pdf-url='x.pdf'>", '<embed src="x.pdf?a=1" type="application/pdf">', "<p>"]
+    docs = spark.createDataFrame([(h,) for h in html], "h string").select(st.pdf_link(F.col("h"), "https://a.org/d/").alias("x")).select("x.*").collect()
+    assert [(r.url, r.filename) for r in docs] == [("https://a.org/d/x.pdf", "x.pdf")] * 2 + [("https://a.org/d/x.pdf?a=1", "x.pdf"), (None, "")] or docs[3].url is None
