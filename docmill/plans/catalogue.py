@@ -597,12 +597,6 @@ def long_split(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("doc_id", "pos", F.md5(tx.squeeze(F.col("part")).cast("binary")).alias("part_md5"), q.n_words(F.col("part")).alias("n_words"))
 
 
-@query()
-def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    scanned = F.concat(F.lit("P a s a l 2o14\n(1I) Setiap KNRJA dan Pasa1 l adalah 12 olo-\nkerja.\n- 7 -\n"), F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.md5(tx.cleaned(scanned).cast("binary")).alias("text_md5"))
-
-
 # ---------------------------------------------------------------- structure
 
 
@@ -648,12 +642,19 @@ def article_split(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "article_no", "pasal_id", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
-@query()
+@query(r"""
+WITH src AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+n AS (SELECT doc_id, i, regexp_replace(regexp_replace(ls[i], '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS content, 'PP_' || (doc_id % 90 + 1) || '_Tahun_2015.pdf' AS file FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM src))
+SELECT 'pdf/' || doc_id || '/' || file AS doc, sha1(file || '::Pasal ' || i) AS id, 'Pasal ' || i AS pasal_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS chunk_index,
+       'Peraturan Pemerintah No. ' || (doc_id % 90 + 1) || ' Tahun 2015, Pasal ' || i AS citation_text, md5(content) AS text_md5, CASE WHEN (i - 1) % 9 >= 3 THEN 'Bagian Kesatu' ELSE '' END AS bagian
+FROM n WHERE content <> ''
+""")
 def chunk_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    path = F.concat(F.lit("pdf/PP_"), (F.col("doc_id") % 90 + 1).cast("string"), F.lit("_2015_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    docs = table(spark, d, "documents").select(path.alias("path"), legal_text(F.col("doc_id"), F.col("text")).alias("text"))
+    i = F.col("doc_id")
+    path = F.concat(F.lit("pdf/"), i.cast("string"), F.lit("/PP_"), (i % 90 + 1).cast("string"), F.lit("_Tahun_2015.pdf"))
+    docs = table(spark, d, "documents").select(path.alias("path"), legal_text(i, F.col("text")).alias("text"))
     found = st.chunk_documents(docs.withColumn("meta", md.regulation(F.col("path"), F.col("text"))))
-    return found.select("doc", "id", F.col("metadata.pasal_id").alias("pasal_id"), F.col("metadata.chunk_index").alias("chunk_index"), "citation_text", F.md5(F.col("display_text").cast("binary")).alias("display_md5"))
+    return found.select("doc", "id", F.col("metadata.pasal_id").alias("pasal_id"), F.col("metadata.chunk_index").alias("chunk_index"), "citation_text", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("metadata.bagian").alias("bagian"))
 
 
 @query("""
