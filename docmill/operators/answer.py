@@ -44,6 +44,14 @@ def validated(answers: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select("query_id", "cited", "invalid", ok.alias("ok"))
 
 
+def search_words(queries: DataFrame, extract: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+    """queries with `search`: the question itself, or what an `extract` of question lists makes of it; a failed or empty extraction gives the question."""
+    if extract is None:
+        return queries.withColumn("search", F.col("query"))
+    made = generate(queries.withColumn("prompt", F.col("query")), extract, out="search").drop("prompt")
+    return made.withColumn("search", F.coalesce(F.nullif(F.trim("search"), F.lit("")), F.col("query")))
+
+
 def bracket_errors(answer: Column, n_docs: Column) -> Column:
     """Numbers of [R#] codes beyond the documents given."""
     used = F.transform(F.regexp_extract_all(answer, F.lit(r"\[R(\d+)\]"), F.lit(1)), lambda n: n.cast("int"))

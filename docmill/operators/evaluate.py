@@ -85,6 +85,18 @@ def histogram(rows: DataFrame, value: str, bins: int = 10) -> DataFrame:
     return rows.where(F.col(value).between(0, 1)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def most_frequent(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """`by`, `value`: the commonest value of each group, the smallest of equals."""
+    return rows.groupBy(by).agg(F.mode(value, deterministic=True).alias(value))
+
+
+def compared(modes: dict[str, DataFrame], base: str, names: tuple[str, ...]) -> DataFrame:
+    """metric, mode, mean, difference from the base mode: the same questions answered in several modes."""
+    means = reduce(DataFrame.unionByName, [summary(rows, names).select(F.lit(mode).alias("mode"), "metric", "mean") for mode, rows in modes.items()])
+    own = means.where(F.col("mode") == base).select("metric", F.col("mean").alias("_base"))
+    return means.join(own, "metric").select("metric", "mode", "mean", (F.col("mean") - F.col("_base")).alias("difference"))
+
+
 def question_id(raw: Column) -> Column:
     """Qnn from any text with digits, else the text in upper case."""
     digits = F.regexp_extract(raw, r"(\d+)", 1)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import metadata as md
 from ..functions import quality as q
@@ -95,6 +98,18 @@ def finalize(chunks: DataFrame, sources: DataFrame, *, max_words: int = 450, ove
     )
 
 
+def source_counts(final: DataFrame) -> DataFrame:
+    """source_file, chunks, review_chunks of a run."""
+    review = F.sum(F.when(F.col("metadata.quality_status") == "needs_review", 1).otherwise(0))
+    return final.groupBy(F.col("metadata.source_file").alias("source_file")).agg(F.count(F.lit(1)).alias("chunks"), review.alias("review_chunks"))
+
+
+def correction_report(corrected_chunks: DataFrame) -> DataFrame:
+    """One row of counters of a correction run."""
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    return corrected_chunks.agg(F.count(F.lit(1)).alias("chunks"), n(F.col("llm_typo_corrected")).alias("corrected"), n(F.col("missing")).alias("missing"), n(~F.col("llm_typo_corrected") & ~F.col("missing")).alias("skipped"))
+
+
 def report(chunks: DataFrame, final: DataFrame) -> DataFrame:
     """One row of counters."""
     suspicious = q.suspicious_reasons(F.col("text"), F.col("metadata.nomor"), F.col("metadata.year"), F.col("metadata.tentang"), F.col("metadata.pasal_id"))
@@ -121,6 +136,54 @@ def cache_key(chunk_id: Column, text: Column, *, provider: str, model: str) -> C
     return F.sha1(F.to_json(parts, {"ignoreNullFields": "false"}).cast("binary"))
 
 
+def with_display(chunks: DataFrame, changed: Column) -> DataFrame:
+    """Chunks whose text has `changed` with their display, embedding and citation texts made again from it.
+
+    chunks: text, display_text, embedding_text, citation_text, metadata with the law's fields, pasal_id and the section's.
+    """
+    meta = F.col("metadata")
+    ctx = F.struct(*[F.coalesce(meta[c], F.lit("")).alias(c) for c in CONTEXT_FIELDS])
+    shown = md.display_text(meta, ctx, F.coalesce(meta["pasal_id"], F.lit("")), F.col("text"))
+    again = {"display_text": shown, "embedding_text": shown, "citation_text": md.compact_citation(meta)}
+    return chunks.withColumns({c: F.when(changed, v).otherwise(F.col(c)) for c, v in again.items()})
+
+
+def deterministic(chunks: DataFrame) -> DataFrame:
+    """Chunks cleaned by rule alone, marked where that changed the text, with their display texts made again."""
+    clean = tx.cleaned(F.col("text"))
+    marked = chunks.withColumn("deterministic_typo_corrected", ~F.col("text").eqNullSafe(clean)).withColumn("text", clean)
+    return with_display(marked, F.col("deterministic_typo_corrected"))
+
+
+def batch_corrections(pages: DataFrame, ask, *, size: int = 3, text_col: str = "text") -> DataFrame:
+    """`pages` with corrected_text by an `ask` that is given `size` texts and replies with a JSON list; a malformed reply keeps the originals."""
+    kept = pages.columns
+
+    def corrected_of(texts: list[str]) -> list[str]:
+        try:
+            reply = json.loads(ask(texts))
+        except Exception:  # noqa: BLE001  a failed or malformed reply changes nothing
+            return texts
+        return [str(x) for x in reply] if isinstance(reply, list) and len(reply) == len(texts) else texts
+
+    def run(batches):
+        for pdf in batches:
+            texts = pdf[text_col].tolist()
+            pdf["corrected_text"] = [c for i in range(0, len(texts), size) for c in corrected_of(texts[i : i + size])]
+            yield pdf
+
+    return pages.select(*kept).mapInPandas(run, T.StructType([*pages.schema.fields, T.StructField("corrected_text", T.StringType())]))
+
+
+def routed(documents: DataFrame, *, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(usable documents, FAILURES rows of the others with the first reason against each and where it goes). documents: source_file, text."""
+    judged = documents.withColumn("_verdict", q.usable(q.extraction_quality(F.coalesce(F.col(text_col), F.lit("")))))
+    failed = judged.where("_verdict != 'ok'")
+    status = F.when(F.coalesce(F.trim(text_col), F.lit("")) == "", "no_text").otherwise("low_quality")
+    rows = failed.select("source_file", status.alias("status"), F.col("_verdict").alias("reason"), F.to_json(q.extraction_quality(F.coalesce(F.col(text_col), F.lit("")))).alias("quality"), F.concat(F.lit("failed/"), status, F.lit("/"), "source_file").alias("moved_to"))
+    return judged.where("_verdict = 'ok'").drop("_verdict"), rows
+
+
 def last_writes(cache: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """The last value of each key."""
     return cache.groupBy(key).agg(F.max_by(value, order).alias(value))

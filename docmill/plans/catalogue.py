@@ -866,7 +866,7 @@ def judge_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT lang, min(source) AS common_source FROM (SELECT lang, source, count(*) AS n, max(count(*)) OVER (PARTITION BY lang) AS top FROM documents GROUP BY lang, source) WHERE n = top GROUP BY lang")
 def common_source(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("lang").agg(F.mode("source", deterministic=True).alias("common_source"))
+    return ev.most_frequent(table(spark, d, "documents"), "lang", "source").withColumnRenamed("source", "common_source")
 
 
 @query("SELECT e.vec_id AS id, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings e JOIN embeddings o ON o.vec_id = e.vec_id + 1")

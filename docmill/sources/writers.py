@@ -22,6 +22,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = filesystem(spark, path)
+    fs.delete(where, True)
+
+
 def chunks(rows: DataFrame, path: str, *, as_json: bool = False) -> None:
     (rows.write.mode("overwrite").json if as_json else rows.write.mode("overwrite").parquet)(path)
 
@@ -50,8 +55,7 @@ def upsert(rows: DataFrame, path: str, key: str, *, buckets: int = 64) -> None:
     old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
     old.join(mine.select(key).distinct(), key, "left_anti").select(*mine.columns).unionByName(mine).write.parquet(staged)
     spark.read.parquet(staged).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    fs, where = filesystem(spark, staged)
-    fs.delete(where, True)
+    remove(spark, staged)
 
 
 def promote(spark: SparkSession, corrected: str, base: str, backup: str) -> bool:

@@ -231,3 +231,32 @@ def test_links_are_resolved_against_their_page(spark):
     html = ['<div data-pdf-url="x.pdf" class="k" id="pdf-viewer">', "<DIV ID='pdf-viewer' data-pdf-url='x.pdf'>", '<embed src="x.pdf?a=1" type="application/pdf">', "<p>"]
     docs = spark.createDataFrame([(h,) for h in html], "h string").select(st.pdf_link(F.col("h"), "https://a.org/d/").alias("x")).select("x.*").collect()
     assert [(r.url, r.filename) for r in docs] == [("https://a.org/d/x.pdf", "x.pdf")] * 2 + [("https://a.org/d/x.pdf?a=1", "x.pdf"), (None, "")] or docs[3].url is None
+
+
+def test_corrections_by_rule_and_in_batches(spark):
+    law = F.struct(*[F.lit(v).alias(k) for k, v in (("regulation_type", "PP"), ("nomor", "1"), ("year", 2020), ("publication_year", 2020), ("pasal_id", "Pasal 1"), ("bab", ""), ("bab_title", ""), ("bagian", ""), ("bagian_title", ""), ("paragraf", ""), ("paragraf_title", ""))])
+    rows = spark.createDataFrame([(1, "KNRJA tetap"), (2, "baik")], "i int, text string").select("i", "text", *[F.lit("old").alias(c) for c in ("display_text", "embedding_text", "citation_text")], law.alias("metadata"))
+    out = {r.i: r for r in fin.deterministic(rows).collect()}
+    assert (out[1].text, out[1].display_text, out[1].citation_text) == ("KERJA tetap", "PP No. 1 Tahun 2020\nPasal 1\nKERJA tetap", "PP No. 1 Tahun 2020, Pasal 1")
+    assert (out[2].deterministic_typo_corrected, out[2].display_text) == (False, "old")
+    pages = spark.createDataFrame([(i, f"t{i}") for i in range(7)], "i int, text string").coalesce(1)
+    ask = lambda texts: "broken" if "t3" in texts else str([t.upper() for t in texts]).replace("'", '"')
+    got = {r.i: r.corrected_text for r in fin.batch_corrections(pages, ask).collect()}
+    assert got == {i: (f"T{i}" if i not in (3, 4, 5) else f"t{i}") for i in range(7)}
+
+
+def test_failures_are_routed_with_a_reason(spark):
+    docs = spark.createDataFrame([("a", "Pasal 1\n" + "kata baik " * 60), ("b", ""), ("c", "pendek"), ("d", None)], "source_file string, text string")
+    good, bad = fin.routed(docs)
+    assert [r.source_file for r in good.collect()] == ["a"] and good.columns == docs.columns
+    assert {(r.source_file, r.status, r.moved_to) for r in bad.collect()} == {("b", "no_text", "failed/no_text/b"), ("c", "low_quality", "failed/low_quality/c"), ("d", "no_text", "failed/no_text/d")}
+
+
+def test_modes_compared_and_search_words(spark):
+    rows = lambda v: spark.createDataFrame([(i, v * i) for i in range(3)], "id int, score double")
+    got = {(r["mode"], r["difference"]) for r in ev.compared({"vanilla": rows(1.0), "proposed": rows(2.0)}, "vanilla", ("score",)).collect()}
+    assert got == {("vanilla", 0.0), ("proposed", 1.0)}
+    asked = spark.createDataFrame([("q1", "apa itu upah"), ("q2", "x")], "query_id string, query string")
+    assert [r.search for r in an.search_words(asked).orderBy("query_id").collect()] == ["apa itu upah", "x"]
+    made = an.search_words(asked, lambda texts: ["upah" if "upah" in t else " " for t in texts]).orderBy("query_id").collect()
+    assert [r.search for r in made] == ["upah", "x"]
