@@ -260,3 +260,11 @@ def test_modes_compared_and_search_words(spark):
     assert [r.search for r in an.search_words(asked).orderBy("query_id").collect()] == ["apa itu upah", "x"]
     made = an.search_words(asked, lambda texts: ["upah" if "upah" in t else " " for t in texts]).orderBy("query_id").collect()
     assert [r.search for r in made] == ["upah", "x"]
+
+
+def test_medians_are_exact(spark):
+    rng = random.Random(6)
+    rows = [(f"m{k}", v) for k, n in enumerate((1, 2, 3, 5000, 4999)) for v in (rng.choice([rng.random(), 0.5, 0.25]) for _ in range(n))] + [("m1", None), ("same", 2.0), ("same", 2.0), ("none", None)]
+    got = {r.m: r.median for r in ev.medians(spark.createDataFrame(rows, "m string, v double").repartition(5), "m", "v").collect()}
+    wanted = {m: float(np.median([v for k, v in rows if k == m and v is not None])) for m, _ in rows if m != "none"}
+    assert got == wanted
