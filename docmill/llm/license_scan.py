@@ -9,8 +9,10 @@ that found their place; matched words must lie within `slack` template lengths.
 Where to align follows from the wanted coverage: a stretch that covers a share c of an n-word
 template holds at least one of any n - ceil(c n) + 1 of its words, so those, longest first, are the
 only places looked at. This loses nothing and leaves texts without such a word after one pass.
-Whole texts are scanned, in a narrow map without a shuffle; templates are few and travel with the
-code (their words are limited to `TEMPLATE_WORDS` together).
+A place is aligned only if the words around it, as a multiset, share enough with the template; that
+count slides along the text, so a text of hot words costs one step a word. Whole texts are scanned, in a
+narrow map without a shuffle. Templates travel with the code in groups of `TEMPLATE_WORDS` words, a pass
+over the texts for each group.
 
 Edge cases: null and wordless texts have no match; templates without words never match; repeated
 rows get equal results; overlapping matches of different templates are all reported; of one
@@ -27,9 +29,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import append_columns, member, word_slices
+from .textkit import append_columns, fresh_name, member, word_slices
 
 TEMPLATE_WORDS = 200_000
 
@@ -157,8 +160,8 @@ class Scanner:
                 most = len(own) - math.ceil(coverage * len(own) - 1e-9) + 1
                 for i in sorted(range(len(own)), key=lambda i: (-(w.end[i] - w.start[i]), i))[:most]:
                     seeds[own[i]].add(k)
-        if sum(map(len, self.words)) > TEMPLATE_WORDS:
-            raise ValueError(f"templates have more than {TEMPLATE_WORDS} words")
+        self.counts = [Counter(x) for x in self.words]
+        self.sets = [np.array(sorted(c), np.uint64) for c in self.counts]
         self.reach = [math.ceil(slack * len(x)) + 2 for x in self.words]
         self.keys = np.array(sorted(seeds), np.uint64)
         self.owners = [sorted(seeds[k]) for k in sorted(seeds)]
@@ -176,27 +179,67 @@ class Scanner:
         for t, places in sorted(by.items()):
             own, reach, done = self.words[t], self.reach[t], 0
             need = math.ceil(self.coverage * len(own) - 1e-9)
-            while True:
-                p = next((x for x in places if x >= done), None)
-                if p is None:
-                    break
+            shared = self.shared(hashes, t, places)
+            for p, most in zip(places, shared, strict=True):
+                if p < done or most < need:
+                    continue
                 lo, hi = max(done, p - reach), min(len(hashes), p + reach)
                 pairs = densest([(i, lo + j) for i, j in align(own, hashes[lo:hi].tolist())], reach)
                 if len(pairs) >= need:
                     out.append((self.names[t], len(pairs) / len(own), pairs[0][1], pairs[-1][1] + 1))
                     done = pairs[-1][1] + 1
-                    places = [x for x in places if x > p]
-                else:
-                    places = [x for x in places if x > p]
         return sorted(out, key=lambda m: (m[2], m[0]))
 
+    def shared(self, hashes: np.ndarray, t: int, places: list[int]) -> list[int]:
+        """Size of the multiset intersection of the template and the words within reach of each place, which no alignment exceeds."""
+        at = np.flatnonzero(member(hashes, self.sets[t]) >= 0)
+        word, at = hashes[at].tolist(), at.tolist()
+        held: dict[int, int] = defaultdict(int)
+        counts, reach, total, lo, hi, out = self.counts[t], self.reach[t], 0, 0, 0, []
+        for p in places:
+            while hi < len(at) and at[hi] < p + reach:
+                held[word[hi]] += 1
+                total += held[word[hi]] <= counts[word[hi]]
+                hi += 1
+            while lo < hi and at[lo] < p - reach:
+                total -= held[word[lo]] <= counts[word[lo]]
+                held[word[lo]] -= 1
+                lo += 1
+            out.append(total)
+        return out
+
+
+def grouped(templates: dict[str, str], most: int) -> list[dict[str, str]]:
+    """Groups of templates with about `most` words at most, or one template."""
+    out: list[dict[str, str]] = [{}]
+    size = 0
+    for name in sorted(templates):
+        n = len((templates[name] or "").split())
+        if out[-1] and size + n > most:
+            out.append({})
+            size = 0
+        out[-1][name] = templates[name]
+        size += n
+    return out
+
 
 MATCHES = T.ArrayType(T.StructType([T.StructField("template", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("from_word", T.LongType()), T.StructField("to_word", T.LongType())]))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, text_col: str = "text", coverage: float = 0.8, slack: float = 1.5) -> DataFrame:
     """`docs` with license_words (words of the text) and license_matches (template, coverage, from_word, to_word)."""
-    templates = TEMPLATES if templates is None else templates
+    first, *rest = grouped(TEMPLATES if templates is None else templates, TEMPLATE_WORDS)
+    out = scanned(docs, first, text_col, coverage, slack)
+    for more in rest:
+        held = fresh_name(out, "matches")
+        out = scanned(out.withColumnRenamed("license_matches", held), more, text_col, coverage, slack)
+        order = lambda x, y: F.when(F.struct(x["from_word"], x["template"]) < F.struct(y["from_word"], y["template"]), -1).otherwise(1)
+        out = out.withColumn("license_matches", F.array_sort(F.concat(held, "license_matches"), order)).drop(held)
+    return out
+
+
+def scanned(docs: DataFrame, templates: dict[str, str], text_col: str, coverage: float, slack: float) -> DataFrame:
+    """One pass over the texts, for one group of templates."""
 
     def make():
         scanner = Scanner(templates, coverage, slack)
