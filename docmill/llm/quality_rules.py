@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
+
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -39,11 +41,6 @@ def dup_lines(text: Column) -> Column:
     return bind(lines, lambda own: F.size(own) - F.size(F.array_distinct(own)))
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once, however often the body refers to it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def repeat_words(words: Column, window: int = 3) -> Column:
     """Words that lie in a window found twice or more in the text; `words` must be bound.
 

@@ -9,17 +9,18 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..sources.readers import table as table
+
 #: Bytes of text that one numpy pass works on; a longer single text is one slice of its own.
 SLICE_BYTES = 1 << 20
 #: Odd multiplier of the prefix hashes (wrap-around arithmetic modulo 2**64) and its inverse.
@@ -28,19 +29,12 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _U64 = np.uint64
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, in a session whose Python workers find this package where it is not installed."""
-    root = str(Path(__file__).resolve().parents[2])
-    own = spark.sparkContext.environment
-    if root not in own.get("PYTHONPATH", "").split(os.pathsep):
-        own["PYTHONPATH"] = os.pathsep.join(x for x in (own.get("PYTHONPATH"), root) if x)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one process is given a temporary one and a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="docmill-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -277,10 +271,10 @@ def words(data: np.ndarray, offs: np.ndarray, lut: np.ndarray = WORDS) -> Words:
     return Words(out, start, end, np.searchsorted(start, offs), low)
 
 
-def word_slices(column: pa.Array, lut: np.ndarray = WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Words]]:
+def word_slices(column: pa.Array, lut: np.ndarray = WORDS, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Words]]:
     """(row from, row to, bytes, offsets, words) by slices of bounded size."""
     data, offs = flat(column)
-    for i, j in slices(offs):
+    for i, j in slices(offs, most):
         own = offs[i : j + 1] - offs[i]
         part = data[offs[i] : offs[j]]
         yield i, j, part, own, words(part, own, lut)
