@@ -4,9 +4,9 @@ A line's leaf in the tree is its number of tokens and its first `depth` tokens,
 a digit counts as variable. In leaves that lines of at least `min_docs` different texts reach, a
 token that fewer lines share at its position is variable too; a line with its variable tokens
 blanked is its template. A template with enough constant tokens that occurs in at least `min_docs`
-different texts recurs, and its lines are dropped everywhere but in one document, the one with
-the least id (`keep_first=False` drops them there as well). Copies of that document lose them too;
-`keep_copies=True` spares them, so that copies stay copies for a later stage. Lines that are the
+different texts recurs, and its lines are dropped. `keep_first=True` spares them in one document, the
+one with the least id; copies of that document lose them too, unless `keep_copies=True` spares those as
+well, so that copies stay copies for a later stage. Lines that are the
 same byte for byte recur in `min_docs` texts whatever their share of digits, and those of at least
 `long_tokens` tokens from the second different text on.
 
@@ -27,7 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import saved
+from ..functions.text import bind
+from .textkit import fresh_name, saved
 
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 VARIABLE = "<*>"
@@ -130,20 +131,32 @@ def drop_recurring_lines(
     min_docs: int = 10,
     depth: int = 4,
     constant: float = 0.5,
-    keep_first: bool = True,
+    keep_first: bool = False,
     keep_copies: bool = False,
     long_tokens: int = 20,
 ) -> DataFrame:
     """`docs` with the text's recurring lines taken out, n_lines and n_dropped appended."""
     lost = recurring_lines(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, depth=depth, constant=constant, keep_first=keep_first, long_tokens=long_tokens)
-    base = docs.drop("n_lines", "n_dropped").withColumn("_text_key", text_key(F.col(text_col)))
-    joined = base.join(lost.toDF(*[f"_{c}" for c in lost.columns]), "_text_key", "left")
-    copy = F.coalesce(F.col(id_col) != F.col("_first_id"), F.lit(True)) & F.lit(not keep_copies)
-    joined = joined.withColumn("_dropped", F.when(copy, F.array_union("_dropped", "_first_only")).otherwise(F.col("_dropped")))
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_dropped", i)), "\n")
-    n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    out = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(kept))
-    return out.select(*[c for c in docs.columns if c not in {"n_lines", "n_dropped"}], "n_lines", "n_dropped")
+    passed = [c for c in docs.columns if c.lower() not in {"n_lines", "n_dropped"}]
+    key, found = fresh_name(docs, "text_key"), fresh_name(docs, "lost")
+    base = docs.select(*[F.col(f"`{c}`") for c in passed], text_key(F.col(text_col)).alias(key))
+    joined = base.join(lost.select(F.col("text_key").alias(key), F.struct("first_id", "dropped", "first_only").alias(found)), key, "left")
+    copy = F.coalesce(F.col(id_col) != F.col(f"{found}.first_id"), F.lit(True)) & F.lit(not keep_copies)
+    dropped = F.array_sort(F.when(copy, F.array_union(f"{found}.dropped", f"{found}.first_only")).otherwise(F.col(f"{found}.dropped")))
+    joined = joined.withColumn(found, F.when(F.col(found).isNotNull(), dropped))
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0))).cast("long")
+    n_dropped = F.coalesce(F.size(found), F.lit(0)).cast("long")
+    n_dropped = F.when(F.col(found).isNull(), F.lit(0).cast("long")).otherwise(n_dropped)
+    text = F.when(F.col(found).isNull(), F.col(text_col)).otherwise(without_lines(F.col(text_col), F.col(found)))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in passed], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+
+
+def without_lines(text: Column, dropped: Column) -> Column:
+    """The text without the lines at the sorted places `dropped`: the stretches between them, joined."""
+
+    def cut(lines: Column) -> Column:
+        ends = F.concat(dropped, F.array(F.size(lines)))
+        starts = F.concat(F.array(F.lit(0)), F.transform(dropped, lambda i: i + 1))
+        return F.array_join(F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a))), "\n")
+
+    return bind(F.split(text, "\n"), cut)
