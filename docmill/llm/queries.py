@@ -184,3 +184,53 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN c USING (k) LEFT JOIN t USING (k)
 """
+
+ORACLE_SQL["op6_near_dup"] = r"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS first_id, row_number() OVER () AS k FROM documents GROUP BY ALL),
+w AS (SELECT k, list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), lambda x: x <> '') AS ws FROM t),
+s AS (SELECT k, array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') AS shingle FROM (SELECT k, ws, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM w WHERE len(ws) > 0)),
+c AS (SELECT k, shingle, count(*) AS n FROM s GROUP BY ALL),
+z AS (SELECT k, sum(n) AS total FROM c GROUP BY k),
+o AS (SELECT a.k AS a, b.k AS b, sum(least(a.n, b.n)) AS common FROM c a JOIN c b ON b.shingle = a.shingle AND a.k < b.k GROUP BY a.k, b.k),
+e AS (SELECT o.a, o.b FROM o JOIN z x ON x.k = o.a JOIN z y ON y.k = o.b WHERE common >= 0.8 * (x.total + y.total - common)),
+near AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT k, k AS m FROM t UNION SELECT reach.k, near.b FROM reach JOIN near ON near.a = reach.m),
+class AS (SELECT reach.k, min(t.first_id) AS class_id FROM reach JOIN t ON t.k = reach.m GROUP BY reach.k)
+SELECT d.doc_id, class.class_id FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN class ON class.k = t.k
+"""
+
+ORACLE_SQL["op10_line_dedup"] = r"""
+WITH tx AS (SELECT DISTINCT text AS t FROM documents WHERE text IS NOT NULL),
+k AS (SELECT row_number() OVER () AS k, t, string_split(t, chr(10)) AS ls FROM tx),
+l AS (SELECT k, i - 1 AS n, ls[i] AS line, list_filter(regexp_split_to_array(ls[i], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ts FROM (SELECT k, ls, unnest(range(1, len(ls) + 1)) AS i FROM k) WHERE regexp_matches(ls[i], '[^\x20\x09-\x0D]')),
+m AS (SELECT *, list_transform(ts, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS ms FROM l),
+f AS (SELECT *, [CAST(len(ms) AS VARCHAR)] || ms[1:4] AS leaf FROM m),
+reached AS (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT k) >= 10),
+held AS (SELECT f.* FROM f JOIN reached ON reached.leaf = f.leaf),
+tok AS (SELECT leaf, unnest(range(1, len(ms) + 1)) AS p, unnest(ms) AS tok FROM held),
+sup AS (SELECT leaf, p, tok FROM tok WHERE tok <> '<*>' GROUP BY ALL HAVING count(*) >= 10),
+u AS (SELECT leaf, line, len(ms) AS size, unnest(range(1, len(ms) + 1)) AS p, unnest(ms) AS tok FROM (SELECT DISTINCT leaf, line, ms FROM held)),
+pat AS (SELECT u.leaf, u.line, list(coalesce(sup.tok, '<*>') ORDER BY u.p) AS pattern FROM u LEFT JOIN sup ON sup.leaf = u.leaf AND sup.p = u.p AND sup.tok = u.tok GROUP BY u.leaf, u.line HAVING count(sup.tok) >= 0.5 * max(size)),
+lp AS (SELECT h.k, h.n, h.leaf, pat.pattern FROM held h JOIN pat ON pat.leaf = h.leaf AND pat.line = h.line),
+rec AS (SELECT leaf, pattern FROM lp GROUP BY leaf, pattern HAVING count(DISTINCT k) >= 10),
+same AS (SELECT line FROM held GROUP BY line HAVING count(DISTINCT k) >= 10),
+long AS (SELECT line FROM l WHERE len(ts) >= 20 GROUP BY line HAVING count(DISTINCT k) >= 2),
+lost AS (SELECT lp.k, lp.n FROM lp JOIN rec ON rec.leaf = lp.leaf AND rec.pattern = lp.pattern UNION SELECT h.k, h.n FROM held h JOIN same ON same.line = h.line UNION SELECT l.k, l.n FROM l JOIN long ON long.line = l.line),
+d AS (SELECT k, list(n) AS ns FROM lost GROUP BY k),
+o AS (SELECT k.t, len(k.ls) AS n_lines, coalesce(len(d.ns), 0) AS n_dropped, array_to_string(list_filter(k.ls, lambda x, i: NOT coalesce(list_contains(d.ns, i - 1), FALSE)), chr(10)) AS kept FROM k LEFT JOIN d ON d.k = k.k)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN o ON o.t = documents.text
+"""
+
+ORACLE_SQL["op9_substrings"] = """
+WITH t AS (SELECT doc_id, row_number() OVER () AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT k, i, md5(h[2 * i + 1:2 * i + 400]) AS x FROM (SELECT k, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM t WHERE length(h) >= 400)),
+r AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1),
+g AS (SELECT k, i FROM w JOIN r ON r.x = w.x),
+m AS (SELECT k, i, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM g),
+s AS (SELECT k, min(i) AS s, max(i) + 200 AS e FROM (SELECT k, i, sum(opens) OVER (PARTITION BY k ORDER BY i) AS j FROM m) GROUP BY k, j),
+p AS (SELECT k, s, e, coalesce(lag(e) OVER (PARTITION BY k ORDER BY s), 0) AS before FROM s),
+c AS (SELECT p.k, string_agg(h[2 * before + 1:2 * s], '' ORDER BY s) AS head, max(e) AS last, count(*) AS n, sum(e - s) AS removed FROM p JOIN t ON t.k = p.k GROUP BY p.k)
+SELECT t.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || h[2 * coalesce(last, 0) + 1:])) AS kept_sha256
+FROM t LEFT JOIN c ON c.k = t.k
+"""
