@@ -39,12 +39,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import Words, append_columns, fresh_name, mix, saved, small_batches, whole_groups, word_slices
+from .textkit import SLICE_BYTES, Words, append_columns, fresh_name, mix, saved, small_batches, whole_groups, word_slices
 
 _U64 = np.uint64
 BANDS, ROWS, SHINGLE, SIMILARITY = 30, 5, 5, 0.8
 #: Components of a sketch, those of its front part, and how many standard deviations below the similarity an estimate may lie.
 SKETCH, FRONT, DEVIATIONS = 2048, 512, 5.1
+#: Poisson processes whose points are made at once: memory, not results, depends on it.
+PROCESSES = 8192
 #: Members of a bucket that meet in one task.
 BLOCK = 2048
 
@@ -105,17 +107,19 @@ def bag_min_hash(row: np.ndarray, key: np.ndarray, count: np.ndarray, n_rows: in
         batch = 1  # one point each at first: most processes have none before the horizon
         here = active[time[active] <= horizon[row[active]]] if before.any() else active
         while len(here):
-            u = draws(seed[here][:, None], made[here][:, None] + np.arange(batch))
-            gaps = -np.log(((u >> _U64(11)).astype(float) + 0.5) * 2.0**-53) / span[here][:, None]
-            t = time[here][:, None] + np.cumsum(gaps, 1)
-            name = mix(u ^ _U64(0x5851F42D4C957F2D))
-            height = low[here][:, None] + np.floor((name >> _U64(40)).astype(float) * 2.0**-24 * span[here][:, None])
-            fits = height < weight[here][:, None]
-            slot = row[here][:, None] * m + ((name & _U64(0xFFFFFF)) % _U64(m)).astype(np.int64)
-            packed = (t.astype(np.float32).view(np.uint32).astype(_U64) << _U64(32)) | (u >> _U64(32))
-            np.minimum.at(out, slot[fits], packed[fits])
-            time[here] = t[:, -1]
-            made[here] += batch
+            for s in range(0, len(here), PROCESSES):
+                own = here[s : s + PROCESSES]
+                u = draws(seed[own][:, None], made[own][:, None] + np.arange(batch))
+                gaps = -np.log(((u >> _U64(11)).astype(float) + 0.5) * 2.0**-53) / span[own][:, None]
+                t = time[own][:, None] + np.cumsum(gaps, 1)
+                name = mix(u ^ _U64(0x5851F42D4C957F2D))
+                height = low[own][:, None] + np.floor((name >> _U64(40)).astype(float) * 2.0**-24 * span[own][:, None])
+                fits = height < weight[own][:, None]
+                slot = row[own][:, None] * m + ((name & _U64(0xFFFFFF)) % _U64(m)).astype(np.int64)
+                packed = (t.astype(np.float32).view(np.uint32).astype(_U64) << _U64(32)) | (u >> _U64(32))
+                np.minimum.at(out, slot[fits], packed[fits])
+                time[own] = t[:, -1]
+                made[own] += batch
             here = here[time[here] <= horizon[row[here]]]
             batch = 8
         missing = (out.reshape(n_rows, m)[todo] == np.iinfo(np.uint64).max).any(1)
@@ -202,7 +206,7 @@ def bags_of(texts: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             nodes = batch.column("node").to_numpy(zero_copy_only=False)
-            for i, j, _, _, w in word_slices(batch.column("text")):
+            for i, j, _, _, w in word_slices(batch.column("text"), most=SLICE_BYTES // 8):  # sketches of short texts outweigh them
                 row, key, count = shingles(w, shingle)
                 order = np.lexsort((key, row))
                 row, key, count = row[order], key[order], count[order]
@@ -235,15 +239,15 @@ def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     side = lambda c: bags.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"), F.col("counts").alias(f"counts_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "keys_a", "counts_a", "keys_b", "counts_b")
 
-    def bag(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-        k = np.frombuffer(keys, _U64)
-        return k, np.frombuffer(counts, np.uint32).astype(np.int64) if counts else np.ones(len(k), np.int64)
+    def bag(keys: pa.BinaryScalar, counts: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray]:
+        k, c = np.frombuffer(keys.as_buffer(), _U64), np.frombuffer(counts.as_buffer(), np.uint32)
+        return k, c.astype(np.int64) if len(c) else np.ones(len(k), np.int64)
 
     def run(batches):
         for batch in batches:
-            sides = [zip(batch.column(f"keys_{c}").to_pylist(), batch.column(f"counts_{c}").to_pylist(), strict=True) for c in "ab"]
-            near = pa.array([overlap(bag(*x), bag(*y)) >= similarity for x, y in zip(*sides, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(near)
+            cols = [batch.column(f"{c}_{side}") for side in "ab" for c in ("keys", "counts")]
+            near = [overlap(bag(cols[0][k], cols[1][k]), bag(cols[2][k], cols[3][k])) >= similarity for k in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
