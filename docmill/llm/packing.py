@@ -3,7 +3,7 @@
 Texts become token ids; whole windows are cut off long documents first, which leaves a remainder
 per document. For the remainders of a block the packer enumerates every combination of one to
 three lengths that fills a window exactly, solves the repeat counts against the length histogram
-by non-negative least squares, rounds them by largest remainder, makes exactly those windows, and packs
+by non-negative least squares, rounds them by largest remainder, repeats that for the lengths left, makes exactly those windows, and packs
 the residual greedily (best fit, then pieces are cut to close the last gaps).
 
 Blocks are runs of rows of one task (`block_docs` at most), so there is no shuffle, nothing is
@@ -198,25 +198,41 @@ def solve_counts(combos: np.ndarray, histogram: np.ndarray, close: float = 0.25,
 
 
 def rounded(x: np.ndarray, combos: np.ndarray, histogram: np.ndarray) -> np.ndarray:
-    """Whole repeat counts by largest remainder: floors, then one more in order of the remainders (those of 0.5 and above), as far as lengths are left."""
+    """Whole repeat counts by largest remainder: floors, then one more in order of the remainders until their sum is reached, as far as lengths are left."""
     left = histogram.copy()
     left[0] = np.iinfo(np.int64).max // 4
     times = np.zeros(len(x), np.int64)
 
-    def take(k: int, most: int) -> None:
+    def take(k: int, most: int) -> int:
         sizes, counts = np.unique(combos[k][combos[k] > 0], return_counts=True)
         n = int(min(most, (left[sizes] // counts).min()))
         left[sizes] -= n * counts
         times[k] += n
+        return n
 
     for k in np.argsort(-x, kind="stable")[: int((x >= 1).sum())].tolist():
         take(k, int(x[k]))
-    rest = x - np.floor(x)
-    for k in np.argsort(-rest, kind="stable")[: int((rest >= 0.5).sum())].tolist():
-        take(k, 1)
+    rest, missing = x - np.floor(x), round(float(x.sum())) - int(times.sum())
+    for k in np.argsort(-rest, kind="stable")[: int((rest > 0).sum())].tolist():
+        if missing <= 0:
+            break
+        missing -= take(k, 1)
     return times
 
 
+def repeat_counts(combos: np.ndarray, histogram: np.ndarray) -> np.ndarray:
+    """How often each combination is made: solved and rounded, then again for the lengths that rounding has left, while that adds a fiftieth."""
+    times, left = np.zeros(len(combos), np.int64), histogram.copy()
+    while True:
+        more = rounded(solve_counts(combos, left), combos, left)
+        times += more
+        for side in combos.T:
+            np.subtract.at(left, side, more)
+        left[0] = 0
+        if 50 * more.sum() <= times.sum():
+            return times
+
+
 class Packer:
     """Packs lengths below a window into sequences: yields (sequence, piece, taken from, taken)."""
 
@@ -241,7 +257,7 @@ class Packer:
 
         combos = combinations(np.unique(lengths[lengths > 0]), w)
         if len(combos):
-            times = rounded(solve_counts(combos, histogram), combos, histogram)
+            times = repeat_counts(combos, histogram)
             for k in np.flatnonzero(times).tolist():
                 sizes = [s for s in combos[k].tolist() if s]
                 out.extend([(pop(s), 0, s) for s in sizes] for _ in range(times[k]))
