@@ -79,8 +79,8 @@ def statistics(column: pa.Array) -> np.ndarray:
         row = np.repeat(np.arange(j - i), np.diff(w.off))
         again = np.zeros(len(w.hash), bool)
         again[1:] = (w.hash[1:] == w.hash[:-1]) & (row[1:] == row[:-1])
-        three = np.zeros(len(w.hash), np.uint64)
-        three[2:] = mix(w.hash[2:] + w.hash[1:-1] * np.uint64(3)) + w.hash[:-2] * np.uint64(7)
+        three = mix(w.hash[2:] + w.hash[1:-1] * np.uint64(3)) + w.hash[:-2] * np.uint64(7)
+        inside = np.flatnonzero(row[2:] == row[:-2])  # windows of one text: its neighbours in the slice must not matter
         a, b = spans(LINE[part], own)
         line_off = np.searchsorted(a, own)
         lines = np.diff(line_off).astype(float)
@@ -92,7 +92,7 @@ def statistics(column: pa.Array) -> np.ndarray:
             np.bincount(row, length, j - i) / n1 / 10,
             distinct(w.hash, w.off) / n1,
             row_sums(again, w.off) / n1,
-            distinct(three, w.off) / n1,
+            distinct(three[inside], np.searchsorted(row[inside], np.arange(j - i + 1))) / n1,
             1 - distinct(line_hash, line_off) / np.maximum(lines, 1),
             np.log1p(longest) / 5,
             np.log1p(size) / 15,
