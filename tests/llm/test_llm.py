@@ -100,6 +100,67 @@ def test_rare_languages_get_their_own_threshold(spark):
     assert sum(r.toxic_by_lang == (r.doc_id % 4 == 0) for r in rows) >= 0.95 * len(rows)
 
 
+def test_statistics_equal_a_plain_count():
+    texts = [t or "" for t in ODD] + ["A b b c! a b c\n\na b c\nA b", "{x}=1.5; 20%\n" * 3]
+    got = quality_classifier.statistics(pa.array(texts))
+    classes = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&<>", "!?", "|", ".,;:", "\n", " \t", None, "{}[]()=/\\_@"]
+    for row, t in zip(got, texts, strict=True):
+        raw = t.encode()
+        ws = [w for w in re.split(rb"[\x00\x20\x09-\x0d]+", raw) if w]
+        lines = [x for x in re.split(rb"[\x00\n]+", raw) if x]
+        n, size = max(1, len(ws)), max(1, len(raw))
+        three = {tuple(ws[k : k + 3]) for k in range(len(ws) - 2)}
+        wanted = [sum(b >= 0x80 if c is None else b in c.encode() for b in raw) / size for c in classes]
+        wanted += [np.log1p(len(ws)) / 10, sum(map(len, ws)) / n / 10, len(set(ws)) / n, sum(a == b for a, b in zip(ws, ws[1:], strict=False)) / n]
+        assert np.allclose(row[: len(wanted) + 1], [*wanted, len(three) / n])
+        wanted = [1 - len(set(lines)) / max(1, len(lines)), np.log1p(max(map(len, ws), default=0)) / 5, np.log1p(len(raw)) / 15, np.log1p(len(ws) / max(1, len(lines))) / 8]
+        wanted[0] = wanted[0] if lines else 1.0
+        assert np.allclose(row[-4:], wanted)
+
+
+def test_quality_is_the_same_in_another_process(spark):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)) + ("!!" * (i % 5)) for i in range(120)]
+    docs = docs_of(spark, texts).withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))
+    labels = docs.select("doc_id", (F.length("text") % 2).alias("quality"))
+    a, b = (quality_classifier.fit(docs.repartition(n), labels) for n in (1, 5))
+    assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("hidden", "out", "out_bias"))
+    assert "hash(" not in __import__("inspect").getsource(quality_classifier.fit).replace("xxhash64(", "")  # Python's hash of text changes with the process
+
+
+def test_negative_risk_below_zero_is_climbed(monkeypatch):
+    """Both terms of R_u(-) - prior R_p(-) have a slope there, as numerical differences have."""
+    rng = np.random.default_rng(2)
+    pos, unl, seen = rng.normal(2, 1, (300, 4)), rng.normal(-2, 1, (300, 4)), []
+    kept = quality_classifier.backward
+    monkeypatch.setattr(quality_classifier, "backward", lambda m, x, slope: (seen.append(slope), kept(m, x, slope))[1])
+    quality_classifier.fit_pu(pos, unl, 0.9, steps=300)
+    climbs = [(p, u) for p, u in zip(seen[::2], seen[1::2], strict=True) if (u < 0).all()]
+    assert climbs and all((p > 0).all() for p, _ in climbs)
+
+
+def test_forward_pass_equals_plain_loops():
+    rng = np.random.default_rng(6)
+    model = toxicity.train([], np.zeros(0, int), epochs=0)
+    for a in (model.words, model.prefixes, *model.filters, model.bias, model.out):
+        a += rng.normal(0, 0.3, a.shape).astype(np.float32)
+    off = np.array([0, 0, 1, 3, 3, 20, 22])
+    ids, pre = rng.integers(0, 50, 22), rng.integers(0, 50, 22)
+    got, at = model.pooled(ids, pre, off), 0
+    for f in model.filters:
+        width, dims, n = f.shape
+        for r in range(len(off) - 1):
+            own = range(off[r], off[r + 1])
+            for k in range(n):
+                best = 0.0
+                for start in own:
+                    if start + width <= off[r + 1]:
+                        z = float(model.bias[at + k]) + sum(float(model.words[ids[start + j]][d] + model.prefixes[pre[start + j]][d]) * float(f[j, d, k]) for j in range(width) for d in range(dims))
+                        best = max(best, z)
+                assert abs(got[r, at + k] - best) < 1e-4
+        at += n
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     model = toxicity.train([], np.zeros(0, int), epochs=0)
@@ -142,6 +203,53 @@ def test_licenses(spark):
     assert len(rows[3]) == 2 and all(rows[i] == [] for i in range(4, len(texts)))
 
 
+def test_licenses_equal_exhaustive_alignment(spark):
+    """Of templates and stretches without repeated words, patience alignment is a longest common subsequence: every stretch is tried."""
+    rng = random.Random(13)
+    templates = {"a": " ".join(f"a{i}" for i in range(10)), "b": " ".join(f"b{i}" for i in range(6)), "none": "", "c": "c0"}
+    texts = []
+    for n in range(120):
+        own = [f"x{rng.randrange(50)}{n}" for _ in range(rng.randint(0, 25))]
+        for name in rng.sample(["a", "b", "c"], rng.randint(0, 3)):
+            notice = [w for w in templates[name].split() if rng.random() < 0.85]
+            if rng.random() < 0.3:
+                rng.shuffle(notice)
+            for k in range(rng.randint(0, 3)):
+                notice.insert(rng.randint(0, len(notice)), f"y{k}{n}")
+            at = rng.randint(0, len(own))
+            own[at:at] = notice
+        texts.append(" ".join(own))
+
+    def common(x, y):
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, u in enumerate(x):
+            for j, v in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if u == v else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    wanted = set()
+    for k, t in enumerate(texts):
+        ws = t.split()
+        for name, template in templates.items():
+            own = template.split()
+            reach = -(-3 * len(own) // 2) + 2
+            if own and any(common(own, ws[i : i + reach]) >= 0.8 * len(own) - 1e-9 for i in range(len(ws))):
+                wanted.add((k, name))
+    rows = license_scan.scan_licenses(docs_of(spark, texts), templates).collect()
+    assert {(r.doc_id, m.template) for r in rows for m in r.license_matches} == wanted and len(wanted) > 60
+
+
+def test_licenses_in_groups_and_hot_words(spark, monkeypatch):
+    texts = [t for t in license_scan.TEMPLATES.values()] + ["license the version software " * 4000, "", None]
+    docs = docs_of(spark, texts, matches=["m"] * len(texts))
+    one = license_scan.scan_licenses(docs).collect()
+    monkeypatch.setattr(license_scan, "TEMPLATE_WORDS", 40)
+    several = license_scan.scan_licenses(docs)
+    assert several.columns == ["doc_id", "text", "matches", "license_words", "license_matches"]
+    assert {r.doc_id: r.license_matches for r in several.collect()} == {r.doc_id: r.license_matches for r in one}
+    assert license_scan.scan_licenses(docs.limit(0)).count() == 0
+
+
 def test_alignment_is_an_increasing_matching():
     rng = random.Random(3)
     for _ in range(200):
@@ -212,6 +320,34 @@ def test_packing_round_trip(spark, corpus):
     assert packing.pack_documents(docs.limit(0), JSON, RANKS).count() == 0
 
 
+def test_windows_are_those_of_the_rounded_counts():
+    """At the production window: what comes before the greedy residual is what the least squares say, rounded."""
+    rng = np.random.default_rng(3)
+    lengths = np.exp(rng.normal(5.6, 0.8, 6000)).astype(int) % 1023 + 1
+    histogram = np.bincount(lengths, minlength=1025)
+    combos = packing.combinations(np.unique(lengths), 1024)
+    x = packing.solve_counts(combos, histogram)
+    use = np.zeros(1025)
+    for side in combos.T:
+        np.add.at(use, side, x)
+    use[0] = 0
+    assert np.linalg.norm(use - histogram) < 0.1 * np.linalg.norm(histogram)
+    first = packing.rounded(x, combos, histogram)
+    assert (np.abs(first - x) < 1).mean() > 0.99 and first.sum() <= round(x.sum())
+    times = packing.repeat_counts(combos, histogram)
+    assert (times >= first).all() and times.sum() > 0.85 * lengths.sum() / 1024
+    packed = packing.Packer(1024).pack(lengths)
+    wanted = collections.Counter(tuple(sorted(s for s in c if s)) for c, n in zip(combos.tolist(), times.tolist(), strict=True) for _ in range(n))
+    made = collections.Counter(tuple(sorted(n for _, _, n in seq)) for seq in packed[: times.sum()])
+    assert made == wanted and all(first == 0 and n == lengths[i] for seq in packed[: times.sum()] for i, first, n in seq)
+    used = collections.Counter()
+    for seq in packed:
+        assert sum(n for _, _, n in seq) <= 1024
+        for i, _, n in seq:
+            used[i] += n
+    assert used == dict(enumerate(lengths.tolist())) and len(packed) == -(-int(lengths.sum()) // 1024)
+
+
 def test_combinations_fill_the_window():
     combos = packing.combinations(np.array([1, 3, 4, 6, 9]), 10)
     assert {tuple(c) for c in combos.tolist()} == {(0, 1, 9), (0, 4, 6), (1, 3, 6), (3, 3, 4)}
@@ -414,7 +550,7 @@ def test_lines(spark, corpus):
         if len(own) >= 10 and sum(x is not None for x in template) * 2 >= len(template) and first[t] != min(first[x] for x in own):
             lost[t] += 1
     docs = docs_of(spark, texts)
-    rows = line_dedup.drop_recurring_lines(docs.repartition(3)).collect()
+    rows = line_dedup.drop_recurring_lines(docs.repartition(3), keep_first=True).collect()
     assert {r.doc_id: r.n_dropped for r in rows} == {i: lost[t] for i, t in enumerate(texts)} and sum(lost.values()) == 13
     assert {r.doc_id: r.text for r in rows if not r.n_dropped} == {i: t for i, t in enumerate(texts) if not lost[t]}
     odd = line_dedup.drop_recurring_lines(docs_of(spark, ODD, n_words=[3] * len(ODD))).collect()
@@ -429,7 +565,7 @@ def test_long_lines_recur_from_the_second_text(spark):
     texts = [f"{make(6)}\n{passage}\n{make(7)}" for _ in range(8)] + [f"{short}\n{make(5)}" for _ in range(9)]
     texts += [f"{make(4)}\n{twice}", f"{twice} end\n{make(4)}", f"{twice}\n{make(4)}", f"{make(30)}\n{make(3)}", f"{make(30)}\n{make(3)}"]
     texts += [texts[-1]] * 3  # copies alone are not a second text
-    rows = line_dedup.drop_recurring_lines(docs_of(spark, texts).repartition(3)).collect()
+    rows = line_dedup.drop_recurring_lines(docs_of(spark, texts).repartition(3), keep_first=True).collect()
     lost = {r.doc_id: r.n_dropped for r in rows if r.n_dropped}
     assert lost == {**dict.fromkeys(range(1, 8), 1), 19: 1}
     assert {r.doc_id: r.text for r in rows} == {i: t.replace(passage + "\n", "") if 1 <= i < 8 else t.replace(twice + "\n", "") if i == 19 else t for i, t in enumerate(texts)}
@@ -439,19 +575,105 @@ def test_copies_of_the_keeper_lose_its_lines(spark):
     passage = " ".join(f"w{chr(97 + i)}" for i in range(26))
     head, other = f"head\n{passage}", f"other\n{passage}\nend"
     texts = [head, other, head, other, head, "alone\nhere"]
-    rows = line_dedup.drop_recurring_lines(docs_of(spark, texts).repartition(3)).collect()
+    rows = line_dedup.drop_recurring_lines(docs_of(spark, texts).repartition(3), keep_first=True).collect()
     assert {r.doc_id: (r.text, r.n_dropped) for r in rows} == {0: (head, 0), 1: ("other\nend", 1), 2: ("head", 1), 3: ("other\nend", 1), 4: ("head", 1), 5: (texts[5], 0)}
-    bare = line_dedup.drop_recurring_lines(docs_of(spark, texts), keep_first=False).collect()
+    bare = line_dedup.drop_recurring_lines(docs_of(spark, texts)).collect()
     assert {r.doc_id: r.n_dropped for r in bare} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
     nulls = docs_of(spark, texts[:3]).withColumn("doc_id", F.expr("nullif(doc_id, 2)"))
-    assert sorted((str(r.doc_id), r.n_dropped) for r in line_dedup.drop_recurring_lines(nulls).collect()) == [("0", 0), ("1", 1), ("None", 1)]
-    alike = line_dedup.drop_recurring_lines(docs_of(spark, texts), keep_copies=True).collect()
+    assert sorted((str(r.doc_id), r.n_dropped) for r in line_dedup.drop_recurring_lines(nulls, keep_first=True).collect()) == [("0", 0), ("1", 1), ("None", 1)]
+    alike = line_dedup.drop_recurring_lines(docs_of(spark, texts), keep_first=True, keep_copies=True).collect()
     assert {r.doc_id: r.n_dropped for r in alike} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
 
 
 def test_identical_lines_recur_whatever_their_digits(spark):
     row = "030 1234 55 2024-05-01 call"
     texts = [f"top {chr(97 + i)} x\n{row}\nmore {chr(97 + i)}" for i in range(10)] + ["lone\n77 88 99 11"] * 12
-    rows = line_dedup.drop_recurring_lines(docs_of(spark, texts).repartition(3)).collect()
+    rows = line_dedup.drop_recurring_lines(docs_of(spark, texts).repartition(3), keep_first=True).collect()
     assert {r.doc_id: r.n_dropped for r in rows} == {i: int(1 <= i < 10) for i in range(len(texts))}
     assert all(r.n_dropped == 0 for r in line_dedup.drop_recurring_lines(docs_of(spark, texts[:9] + texts[10:])).collect())
+
+
+# ---------------------------------------------------------------- edge cases of all
+
+
+def runs(spark):
+    """name -> docs -> result, with small models where there are any."""
+    words_ = [f"w{i}" for i in range(30)]
+    rng = random.Random(3)
+    base = docs_of(spark, [" ".join(rng.choice(words_) for _ in range(20)) + (" moron" if i % 4 == 0 else "") for i in range(80)], lang=["en"] * 80)
+    toxic = toxicity.fit(base, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int"))
+    quality = quality_classifier.fit(base, spark.createDataFrame([(i, int(i % 2)) for i in range(80)], "doc_id long, quality int"))
+    bench = spark.createDataFrame([("a", "some words that are nowhere")], "item_id string, text string")
+    return {
+        1: lambda d: quality_classifier.score(d, quality),
+        2: lambda d: license_scan.scan_licenses(d),
+        4: lambda d: packing.pack_documents(d, JSON, RANKS),
+        5: lambda d: decontaminate.mark_occurrences(d, bench),
+        6: lambda d: near_dup.classes(d)[1],
+        7: lambda d: quality_rules.apply_policy(quality_rules.ledger(d), "v2"),
+        8: lambda d: toxicity.score(d, toxic),
+        9: lambda d: substring_dedup.repeated_substrings(d),
+        10: lambda d: line_dedup.drop_recurring_lines(d),
+    }
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 7, 8, 9, 10])
+def test_null_ids_long_texts_and_empty_tables(spark, n):
+    run = runs(spark)[n]
+    long = " ".join(f"word{i % 977} x{i}" for i in range(120_000)) + "\nend"  # above one slice
+    assert len(long) > 1 << 20
+    kind = "doc_id long, text string, lang string"
+    rows = [(None, "a b c", "en"), (None, None, None), (None, "a b c", "en"), (1, long, "de"), (2, "", "fr"), (3, None, "en")]
+    out = run(spark.createDataFrame(rows, kind)).collect()
+    if n == 9:
+        assert {r.n_bytes for r in out} == {5, 0, len(long)}
+    elif n == 4:
+        assert collections.Counter(r.doc_id for r in out if r.start == 0) == {None: 3, 1: 1, 2: 1, 3: 1}
+        assert sum(r.length for r in out if r.doc_id == 1) == next(r.doc_tokens for r in out if r.doc_id == 1) > 120_000
+    else:
+        assert collections.Counter(r.doc_id for r in out) == {None: 3, 1: 1, 2: 1, 3: 1}
+    if n == 6:
+        assert {r.class_id for r in out if r.doc_id in (2, 3)} == {2}
+    assert run(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_no_labels_and_no_documents(spark):
+    none, labels = spark.createDataFrame([], "doc_id long, text string, lang string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_classifier.fit(none, labels) is None
+    model = toxicity.fit(none, labels)
+    assert toxicity.score(none, model).count() == 0 and toxicity.score(docs_of(spark, ["a"]), model).count() == 1
+
+
+def test_substrings_of_long_texts_at_production_sizes(spark):
+    """A text above one slice, its near copy, a hot passage in many texts: against a plain set of windows."""
+    rng = random.Random(11)
+    noise = lambda n: bytes(rng.choice(b"abcdefghijklmnop ") for _ in range(n))
+    long, hot = noise(1_200_000), noise(420)
+    texts = [long, long[:600_000] + b"CHANGED" + long[600_000:], *[noise(rng.randint(0, 300)) + hot + noise(rng.randint(0, 300)) for _ in range(60)], b"q" * 5000, noise(900)]
+    seen, again = set(), set()
+    for b in texts:
+        for i in range(len(b) - 199):
+            h = hash(b[i : i + 200])
+            (again if h in seen else seen).add(h)
+    wanted = {}
+    for b in texts:
+        gone = np.zeros(len(b) + 1, int)
+        for i in range(len(b) - 199):
+            if hash(b[i : i + 200]) in again:
+                gone[i] += 1
+                gone[i + 200] -= 1
+        cut = np.cumsum(gone)[: len(b)] > 0
+        wanted[hashlib.sha256(b).digest()] = int(cut.sum())
+    for most in (8192, 8):
+        rows = substring_dedup.repeated_substrings(docs_of(spark, [b.decode() for b in texts]).repartition(4), group_runs=most).collect()
+        assert {bytes(r.text_key): r.n_bytes - len(r.kept) for r in rows} == wanted
+
+
+def test_suffixes_with_lying_hashes(monkeypatch):
+    """Where every hash is the same the block is placed by its bytes, and the repeats are still right."""
+    monkeypatch.setattr(substring_dedup, "range_hash", lambda sums, a, b: np.zeros(len(a), np.uint64))
+    data = np.frombuffer(b"xxGGyyxxGGyyzzGGyyxxGGww", np.uint8)
+    offs, group = np.array([0, 6, 12, 18, 24]), np.zeros(4, np.int64)
+    rel, low, high = np.full(4, 2), np.zeros(4, np.int64), np.full(4, 2)
+    least, most = substring_dedup.repeats_in(data, offs, group, rel, low, high, 4)
+    assert least.tolist() == [0, 0, 0, 2] and most.tolist() == [2, 2, 0, 2]

@@ -28,10 +28,11 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(ids(before))
 
 
-@pytest.mark.parametrize("name", ["op3_url_rules", "op5_decontaminate", "op7_quality_rules"])
+@pytest.mark.parametrize("name", ["op3_url_rules", "op5_decontaminate", "op6_near_dup", "op7_quality_rules", "op9_substrings", "op10_line_dedup"])
 def test_sql(spark, name):
     from docmill.llm import queries
 
+    assert name in queries.ORACLE_SQL
     con = duckdb.connect()
     for f in os.listdir(FOLDER):
         con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{FOLDER}/{f}'")
