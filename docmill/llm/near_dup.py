@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import SLICE_BYTES, Words, append_columns, fresh_name, mix, saved, small_batches, whole_groups, word_slices
+from .textkit import SLICE_BYTES, Words, append_columns, fresh_name, lean, mix, saved, small_batches, whole_groups, word_slices
 
 _U64 = np.uint64
 BANDS, ROWS, SHINGLE, SIMILARITY = 30, 5, 5, 0.8
@@ -226,7 +226,7 @@ def bags_of(texts: DataFrame, shingle: int) -> DataFrame:
                     names=["node", "buckets", "n", "keys", "counts", "front", "sketch"],
                 )
 
-    return texts.select("node", "buckets", "text").mapInArrow(run, "node long, buckets binary, n long, keys binary, counts binary, front binary, sketch binary")
+    return texts.select("node", "buckets", "text").mapInArrow(lean(run), "node long, buckets binary, n long, keys binary, counts binary, front binary, sketch binary")
 
 
 def matrix(column: pa.ChunkedArray, kind: type = _U64) -> np.ndarray:
@@ -249,7 +249,7 @@ def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
             near = [overlap(bag(cols[0][k], cols[1][k]), bag(cols[2][k], cols[3][k])) >= similarity for k in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 # ---------------------------------------------------------------- leaders
@@ -318,7 +318,7 @@ def led(entries: DataFrame, bags: DataFrame, similarity: float, block: int) -> D
     while True:
         parts = F.ceil(F.col("size") / block).cast("long")
         placed = entries.select("bucket", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part")).join(bags.select("node", "n", "front"), "node")
-        out = placed.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node").mapInArrow(run, "bucket long, a long, b long")
+        out = placed.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node").mapInArrow(lean(run), "bucket long, a long, b long")
         out = out if most <= block else saved(out)
         pairs = out.where("b is not null").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
@@ -369,7 +369,7 @@ def crossed(entries: DataFrame, labels: DataFrame, bags: DataFrame, similarity:
                     b.append(np.maximum(node[k], node[to]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(run, "a long, b long")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(lean(run), "a long, b long")
 
 
 def group_edges(*keys: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import SLICE_BYTES, flat, prefix_sums, range_hash, slices
+from .textkit import SLICE_BYTES, flat, lean, prefix_sums, range_hash, slices
 
 #: Distinct pre-tokens whose ids a task keeps (about 200 bytes each); it is emptied when full.
 CACHED_PIECES = 400_000
@@ -106,7 +106,7 @@ class PieceEncoder:
     def encode(self, column: pa.Array) -> Iterator[tuple[int, bytes]]:
         """(row, its ids as little-endian unsigned 32-bit) in order."""
         data, offs = flat(column)
-        for i, j in slices(offs, 2 * SLICE_BYTES):
+        for i, j in slices(offs, SLICE_BYTES // 2):  # numpy takes dozens of bytes for one of text
             own, part = offs[i : j + 1] - offs[i], data[offs[i] : offs[j]]
             fine = self.plain(part, own)
             done: list[bytes] = self._split(part, own) if fine.any() else [b""] * (j - i)
@@ -375,4 +375,4 @@ def pack_documents(
                     yield from flush()
         yield from flush()
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)

@@ -217,7 +217,9 @@ def reserved_of_langs(docs: DataFrame, known: DataFrame, id_col: str, lang_col:
             shares += [(name, k, int(x * (1 << 20))) for k, x in own.items()]
     if not shares:
         return None
-    table = docs.sparkSession.createDataFrame(shares, "_lang string, _label int, _below long")
+    # by Arrow: a list would go through Python workers of its own, which stay beside those of the SQL functions
+    kinds = pa.schema([("_lang", pa.string()), ("_label", pa.int32()), ("_below", pa.int64())])
+    table = docs.sparkSession.createDataFrame(pa.Table.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*shares, strict=True), kinds, strict=True)], schema=kinds))
     drawn = cells.join(F.broadcast(table), ["_lang", "_label"]).where(F.pmod(F.xxhash64("_id", F.lit(77)), F.lit(1 << 20)) < F.col("_below"))
     return saved(drawn.select("_id", "_label", "_lang"))
 
