@@ -41,7 +41,7 @@ def document_frequencies(docs: DataFrame, *, text_col: str = "text") -> DataFram
 
 def doc_lengths(docs: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id, dl of all documents (those without terms have 0): a projection, no shuffle."""
-    return docs.select(F.col(id_col).alias("id"), F.size(tokens(F.col(text_col))).cast("long").alias("dl"))
+    return docs.select(F.col(id_col).alias("id"), F.regexp_count(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z0-9]+")).cast("long").alias("dl"))
 
 
 def term_stats(frequencies: DataFrame, n_docs: int, *, epsilon: float = rules.BM25_EPSILON, floor: bool = True) -> DataFrame:
@@ -53,6 +53,15 @@ def term_stats(frequencies: DataFrame, n_docs: int, *, epsilon: float = rules.BM
     return stats.select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon * mean)).otherwise(F.col("raw")).alias("idf"))
 
 
+def asked_idf(frequencies: DataFrame, terms: list[str], n_docs: int, *, epsilon: float = rules.BM25_EPSILON) -> dict[str, float]:
+    """idf of those of the asked `terms` that occur, as `term_stats` has it: the texts are read once for it and the mean."""
+    asked = frequencies.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    raw = (F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
+    rows = frequencies.select("term", raw).join(F.broadcast(asked.withColumn("_asked", F.lit(True))), "term", "left")
+    found, mean = rows.agg(F.collect_list(F.when(F.col("_asked"), F.struct("term", "raw"))), F.avg("raw")).first()
+    return {r["term"]: r["raw"] if r["raw"] >= 0 else epsilon * mean for r in found}
+
+
 def embed(texts: DataFrame, encoder: Callable[[list[str]], list[list[float]]], *, text_col: str = "text", prefix: str = "passage: ", out: str = "embedding") -> DataFrame:
     """Unit vectors of texts by any encoder of string lists; batches come in Arrow's size."""
 

@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from ..functions import quality as q
 from ..functions import rules
 from ..functions.text import squeeze
-from .index import tokens
+from .index import asked_idf, doc_lengths, document_frequencies, tokens
 
 #: Rows and bytes of a block of queries that travels to the vectors, and how many of them are multiplied at once.
 BATCH_ROWS, QUERY_BYTES, MATRIX_QUERIES = 8192, 64 << 20, 256
+#: Queries of a block of a lexical search, and words of the texts that are scored at once.
+SEARCH_QUERIES, SEARCH_TOKENS = 65_536, 4_000_000
 #: Scores that agree to so many digits are ties: sums of doubles depend on the order of their terms.
 TIE_DIGITS = 9
 
@@ -55,8 +57,8 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, *, where: Column | Non
     """query_id, id, dense_distance (cosine distance of unit vectors), rank: exact nearest neighbours.
 
     The queries are a stated set against all rows. They travel in blocks whose number is fixed by their count,
-    so a block is bounded whatever the batch; each block is one matrix product a batch of vectors, of which
-    k rows a query stay. Vectors that are null or of another length than the queries' are left out.
+    so a block is bounded whatever the batch; each block is one matrix product a batch of vectors, and a task
+    gives the k nearest of all its vectors. Vectors that are null or of another length than the queries' are left out.
     """
     vectors = (vectors if where is None else vectors.where(where)).select("id", "embedding")
     asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -68,34 +70,126 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, *, where: Column | Non
 
 
 def _nearest(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, id, dense_distance: the k nearest of each batch of vectors, for one block of queries."""
+    """query_id, id, dense_distance: the k nearest of each task's vectors, for one block of queries."""
     held = asked.toArrow().combine_chunks()
     shared = asked.sparkSession.sparkContext.broadcast(held)
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (vectors, "id"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows = shared.value["query_id"], shared.value["embedding"]
+        ids, rows = shared.value["query_id"].combine_chunks(), shared.value["embedding"]
         sizes = pc.list_value_length(rows).to_numpy()
         by_size = {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
         matrices = {n: np.array(rows.take(pa.array(at)).to_pylist()).reshape(len(at), n) for n, at in by_size.items()}
+        best = {n: _Least(len(at), k) for n, at in by_size.items()}
         for batch in batches:
             lengths = batch.column("embedding").value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
             for n, matrix in matrices.items():
                 fit = batch.filter(pa.array(lengths == n))
                 if not fit.num_rows:
                     continue
-                fit = fit.take(pc.sort_indices(fit, [("id", "ascending")]))  # a stable sort by distance leaves ties by id
                 points = fit.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
                 for i in range(0, len(matrix), MATRIX_QUERIES):
-                    distance = 1 - matrix[i : i + MATRIX_QUERIES] @ points.T
-                    near = np.argsort(np.round(distance, TIE_DIGITS), axis=1, kind="stable")[:, :k]
-                    q = np.repeat(np.arange(len(near)), near.shape[1])
-                    arrays = [ids.combine_chunks().take(pa.array(by_size[n][i + q])), fit.column("id").take(pa.array(near.ravel())), pa.array(distance[q, near.ravel()])]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "id", "dense_distance"])
+                    best[n].add(i, 1 - matrix[i : i + MATRIX_QUERIES] @ points.T, fit.column("id").to_numpy(zero_copy_only=False))
+        for n, found in best.items():
+            for q, near, distance in found.rows():
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(by_size[n][q])), pa.array(near, batch.column("id").type), pa.array(distance)], names=["query_id", "id", "dense_distance"])
 
     return vectors.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, dense_distance double")
 
 
+class _Least:
+    """The k least values of each row of a matrix whose columns come in batches; ties of TIE_DIGITS go by id.
+
+    Once k are held, a batch costs one comparison a value: only what may enter is put in order.
+    """
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.values, self.ids = k, np.full((n, k), np.inf), None
+
+    def add(self, first: int, values: np.ndarray, ids: np.ndarray) -> None:
+        """Values of the rows from `first` on, a column an id; inf never enters."""
+        if self.ids is None:
+            self.ids = np.zeros(self.values.shape, ids.dtype)
+        limit = self.values[first : first + len(values), -1]
+        if np.isinf(limit).any() and values.shape[1] > self.k:
+            limit = np.minimum(limit, np.partition(values, self.k - 1, axis=1)[:, self.k - 1])
+        row, column = np.nonzero(values <= np.minimum(limit + 10.0**-TIE_DIGITS, np.finfo(float).max)[:, None])
+        if not len(row):
+            return
+        met = np.unique(row)
+        value = np.concatenate([values[row, column], self.values[first + met].ravel()])
+        own, row = np.concatenate([ids[column], self.ids[first + met].ravel()]), np.concatenate([row, np.repeat(met, self.k)])
+        order = np.lexsort((own.astype(str) if own.dtype == object else own, np.round(value, TIE_DIGITS), row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.k
+        self.values[first + row[kept], place[kept]], self.ids[first + row[kept], place[kept]] = value[order][kept], own[order][kept]
+
+    def rows(self, size: int = 1000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, id, value) of what is held, `size` rows of the matrix at a time."""
+        for i in range(0, 0 if self.ids is None else len(self.values), size):
+            row, place = np.nonzero(np.isfinite(self.values[i : i + size]))
+            yield i + row, self.ids[i + row, place], self.values[i + row, place]
+
+
+def bm25_search(queries: DataFrame, docs: DataFrame, k: int, *, k1: float = rules.BM25_K1, b: float = rules.BM25_B) -> DataFrame:
+    """query_id, id, bm25_score, rank: the best k documents (id, text) of each query of a large batch, as `bm25_top` of `bm25` gives them.
+
+    Weights of the asked terms travel to the texts; every text is scored where it lies, for all queries of a block,
+    and a task gives at most k rows a query. No pair of a query and a document is shuffled before that.
+    """
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf")).toArrow()
+    # dictionary order keeps the sums' order fixed
+    asked = asked.sort_by([("query_id", "ascending"), ("term", "ascending")])
+    n, avgdl = doc_lengths(docs).agg(F.count(F.lit(1)), F.avg("dl")).first()
+    idf = asked_idf(document_frequencies(docs), pc.unique(asked["term"]).to_pylist(), n)
+    idf = pa.table({"term": pa.array(idf, pa.string()), "idf": pa.array(idf.values(), pa.float64())})
+    ids = pc.unique(asked["query_id"])
+    parts = [
+        _scored(asked.filter(pc.is_in(asked["query_id"], ids[i : i + SEARCH_QUERIES])).join(idf, "term", join_type="inner"), docs, k, k1, b, avgdl or 1.0, queries.schema["query_id"].dataType.simpleString())
+        for i in range(0, max(1, len(ids)), SEARCH_QUERIES)
+    ]
+    return bm25_top(reduce(DataFrame.unionByName, parts), k)
+
+
+def _scored(asked: pa.Table, docs: DataFrame, k: int, k1: float, b: float, avgdl: float, kind: str) -> DataFrame:
+    """query_id, id, bm25_score: the k best of each task's documents; `asked`: query_id, term, qf, idf."""
+    asked = asked.sort_by([("query_id", "ascending"), ("term", "ascending")]).combine_chunks()
+    shared = docs.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ids = pc.unique(shared.value["term"]), pc.unique(shared.value["query_id"])
+        term = pc.index_in(shared.value["term"], words).to_numpy()
+        weight = shared.value["qf"].to_numpy() * shared.value["idf"].to_numpy() * (k1 + 1)
+        ends = np.searchsorted(pc.index_in(shared.value["query_id"], ids).to_numpy(), np.arange(len(ids) + 1))
+        best, kind_of_id = _Least(len(ids), k), None
+        for batch in batches:
+            kind_of_id = batch.column("id").type
+            used = pc.sum(batch.column("terms").value_lengths()).as_py() or 0
+            step = max(1, batch.num_rows * SEARCH_TOKENS // max(used, SEARCH_TOKENS))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                length = part.column("terms").value_lengths().to_numpy(zero_copy_only=False)
+                found = pc.index_in(part.column("terms").flatten(), words).fill_null(-1).to_numpy(zero_copy_only=False)
+                at = np.repeat(np.arange(len(length)), length)[found >= 0]
+                key, tf = np.unique(found[found >= 0].astype(np.int64) * len(length) + at, return_counts=True)
+                at = key % len(length)
+                share = tf / (tf + k1 * (1 - b + b * length[at] / avgdl))
+                starts = np.searchsorted(key, np.arange(len(words) + 1) * len(length))
+                for q in range(0, len(ids), MATRIX_QUERIES):
+                    score = np.zeros((min(MATRIX_QUERIES, len(ids) - q), len(length)))
+                    for row in range(len(score)):
+                        for j in range(ends[q + row], ends[q + row + 1]):
+                            own = slice(starts[term[j]], starts[term[j] + 1])
+                            score[row, at[own]] += weight[j] * share[own]
+                    best.add(q, np.where(score > 0, -score, np.inf), part.column("id").to_numpy(zero_copy_only=False))
+        for q, near, value in best.rows():
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(near, kind_of_id), pa.array(-value)], names=["query_id", "id", "bm25_score"])
+
+    rows = docs.select("id", tokens(F.col("text")).alias("terms"))
+    return rows.mapInArrow(run, f"query_id {kind}, id {rows.schema['id'].dataType.simpleString()}, bm25_score double")
+
+
 def fuse(*sources: tuple[DataFrame, str, float], k: int = rules.RRF_K) -> DataFrame:
     """Weighted reciprocal-rank fusion of (hits with query_id, id, rank and a score, that score's name, weight).
 
@@ -135,10 +229,10 @@ def boost(kind: str, meta: Column, rrf: Column, domain: Column | None = None) ->
     year = F.coalesce(F.nullif(_number(meta["publication_year"], 0), F.lit(0)), _number(meta["year"], 0))
     if kind == "service":
         return base + F.when(year != 0, F.least(F.greatest(year - 1945, F.lit(0)), F.lit(100)) / 10000).otherwise(0.0)
-    recent = F.least(F.greatest(year - 2000, F.lit(0)), F.lit(40)) * 0.001
+    recent = F.least(F.greatest(year - 2000, F.lit(0)), F.lit(40)) / 1000  # a quotient is the decimal's nearest double, a product may not be
     active = F.when(F.lower(F.coalesce(meta["active_status"], F.lit(""))) == "berlaku", 0.030).otherwise(0.0)
     years = F.when(domain, recent).otherwise(-0.100) if kind == "domain" else recent
-    rank = F.greatest(F.lit(0), 6 - _number(meta["regulation_hierarchy"], rules.UNKNOWN_HIERARCHY)) * 0.003
+    rank = F.greatest(F.lit(0), 6 - _number(meta["regulation_hierarchy"], rules.UNKNOWN_HIERARCHY)) * 3 / 1000
     review = F.when(F.coalesce(meta["quality_status"], F.lit("")) == "needs_review", 0.010).otherwise(0.0)
     return base + active + years + rank - (F.lit(0.0) if kind == "spec" else review)
 
@@ -175,8 +269,8 @@ def hybrid(dense_hits: DataFrame, chunks: DataFrame, k: int, *, meta: Column, sp
     fused = dense_only(dense_hits) if sparse is None else fuse((dense_hits, "dense_distance", rules.DENSE_WEIGHT), (sparse, "bm25_score", rules.SPARSE_WEIGHT))
     rows = by_ids(fused, chunks)
     rows = rows if domain is None else rows.where(domain)
-    rows = rows.withColumn("final_score", F.round(boost(kind, meta, F.col("rrf_score"), domain), TIE_DIGITS))
-    return dedupe_top(rows, k, ties=("first_source", "first_rank", "id"))
+    rows = rows.withColumn("final_score", boost(kind, meta, F.col("rrf_score"), domain)).withColumn("_tied", F.round("final_score", TIE_DIGITS))
+    return dedupe_top(rows, k, score="_tied", ties=("first_source", "first_rank", "id")).drop("_tied")
 
 
 def retrieve_context(queries: DataFrame, search: Callable[[DataFrame], DataFrame], chunks: DataFrame, k: int, *, haystack: Column, narrow: Column, merge: str = "first", scorer=None, depth: int | None = None) -> DataFrame:

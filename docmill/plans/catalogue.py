@@ -43,6 +43,11 @@ def r6(c: Column) -> Column:
     return F.round(c, 6)
 
 
+def r6_scaled(c: Column) -> Column:
+    """r6 as DuckDB rounds a double: its millionfold to a whole number. F.round takes the decimal form, so the two part at a half."""
+    return F.round(c * 1e6) / 1e6
+
+
 # ---------------------------------------------------------------- derived tables
 
 
@@ -182,7 +187,8 @@ def hybrid_hits(spark: SparkSession, d: str, k: int = 40) -> tuple[DataFrame, Da
     rows = vectors(spark, d)
     words = F.array_join(F.slice(ix.tokens(F.col("text")), 1, 5), " ")
     asked = table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), words.alias("query")).join(rows.select(F.col("id").alias("query_id")), "query_id", "left_semi")
-    return rt.dense(vector_queries(rows), rows, k), rt.bm25_top(lexical(spark, d, asked), k)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return rt.dense(vector_queries(rows), rows, k), rt.bm25_search(asked, docs, k)
 
 
 HYBRID_SQL = f"""
@@ -221,7 +227,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 """)
 def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     dense, sparse = hybrid_hits(spark, d)
-    return rt.hybrid(dense, chunks_view(spark, d), 8, meta=meta(), sparse=sparse, domain=in_domain()).select("query_id", "id", r6(F.col("final_score")).alias("final_score"), "rank")
+    return rt.hybrid(dense, chunks_view(spark, d), 8, meta=meta(), sparse=sparse, domain=in_domain()).select("query_id", "id", r6_scaled(F.col("final_score")).alias("final_score"), "rank")
 
 
 @query(f"""
@@ -233,8 +239,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 def dense_only_fallback(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d)
     hits = rt.dense_only(rt.dense(vector_queries(rows), rows, 40)).join(chunks_view(spark, d), "id").where(in_domain())
-    scored = hits.withColumn("final_score", F.round(rt.boost("domain", meta(), F.col("rrf_score"), in_domain()), 9))
-    return rt.top(scored, 8, [F.desc("final_score"), F.col("first_rank")]).select("query_id", "id", r6(F.col("final_score")).alias("final_score"), "rank")
+    scored = hits.withColumn("final_score", rt.boost("domain", meta(), F.col("rrf_score"), in_domain()))
+    return rt.top(scored, 8, [F.round("final_score", rt.TIE_DIGITS).desc(), F.col("first_rank")]).select("query_id", "id", r6_scaled(F.col("final_score")).alias("final_score"), "rank")
 
 
 @query(f"""

@@ -268,3 +268,33 @@ def test_medians_are_exact(spark):
     got = {r.m: r.median for r in ev.medians(spark.createDataFrame(rows, "m string, v double").repartition(5), "m", "v").collect()}
     wanted = {m: float(np.median([v for k, v in rows if k == m and v is not None])) for m, _ in rows if m != "none"}
     assert got == wanted
+
+
+def test_bm25_search_is_bm25_top_of_bm25(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(1, 2 + i % 5))) for i in range(200)] + [(200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    asked = spark.createDataFrame([("a", "w1 w2 w2"), ("b", "w0 w3"), ("c", "nothing"), ("d", "W5")], "query_id string, query string")
+    stats = ix.term_stats(ix.document_frequencies(docs), docs.count())
+    wanted = rt.bm25_top(rt.bm25(asked, ix.postings(docs), ix.doc_lengths(docs), stats), 10)
+    shown = lambda df: sorted((r["query_id"], r["rank"], r["id"], round(r["bm25_score"], 9)) for r in df.collect())
+    assert shown(rt.bm25_search(asked, docs, 10)) == shown(wanted)
+
+
+def test_a_task_gives_k_neighbours_a_query_however_many_batches(spark):
+    rows = [(i, [float(i % 5), float(i % 3)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = rt._nearest(vectors.where("id < 2").withColumnRenamed("id", "query_id"), vectors, 4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = [(q, i) for q in (0, 1) for i in [i for _, i in sorted((1 - sum(x * y for x, y in zip(rows[q][1], v, strict=True)), i) for i, v in rows)][:4]]
+    assert sorted((r["query_id"], r["id"]) for r in found) == sorted(wanted)
+
+
+def test_hybrid_rounds_scores_for_ties_alone(spark):
+    hits = spark.createDataFrame([(1, 1, 1, 0.5)], "query_id int, id int, rank int, dense_distance double")
+    meta = F.struct(F.lit("Berlaku").alias("active_status"), F.lit(2001).alias("publication_year"), F.lit(2001).alias("year"), F.lit(1).alias("regulation_hierarchy"), F.lit("ok").alias("quality_status"))
+    chunks = spark.createDataFrame([(1, "f", "p", "k", 0)], "id int, source_file string, pasal_id string, chunk_kind string, chunk_index int")
+    score = rt.hybrid(hits, chunks, 1, kind="plain", meta=meta, sparse=hits.select("query_id", "id", "rank", F.lit(1.0).alias("bm25_score"))).first()["final_score"]
+    assert score == 1 / 61 + 0.7 / 61 + 0.03 + 0.001 + 0.015
