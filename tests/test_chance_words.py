@@ -8,7 +8,7 @@ import __spark_entry__
 TEXTS = ["un dans pasai tion", "Pasai de korja nomor\nb a b bab ii", "\n\nsi no abc pasal iv", "", "Tentang Perpros kerjaan 12 olo"]
 
 
-@pytest.mark.parametrize("name", ["misread_words", "common_fixes", "legal_normalized", "full_clean", "model_output", "typo_suspects"])
+@pytest.mark.parametrize("name", ["misread_words", "common_fixes", "legal_normalized", "full_clean", "model_output", "finalized_chunks", "typo_suspects"])
 def test_query(spark, tmp_path, name):
     # a stamp-like line, a spaced keyword of single letters and a break at the start are beyond what parted() and the lead-in of model_output keep
     left = {"finalized_chunks": (1, 2), "model_output": (2,)}.get(name, ())
