@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def variants(target: Column) -> Column:
-    """Ways to write a law's name: as given, and short forms spelt out."""
-    return bind(folded(target), _variants)
+    """Ways to write a law's name: as given, and short forms, which hold a slash, spelt out."""
+    return bind(folded(target), lambda t: F.when(F.contains(t, F.lit("/")), _variants(t)).otherwise(F.array_compact(F.array(F.nullif(t, F.lit(""))))))
 
 
 def _variants(t: Column) -> Column:
@@ -46,7 +48,7 @@ def _variants(t: Column) -> Column:
 
 
 def contains_target(blob: Column, target: Column) -> Column:
-    return bind(forms(blob), lambda f: _contains(f, target))
+    return contains_any(blob, F.array(target))
 
 
 def forms(text: Column) -> Column:
@@ -54,27 +56,47 @@ def forms(text: Column) -> Column:
     return bind(folded(text), lambda t: F.struct(t.alias("text"), F.regexp_replace(t, "[^0-9a-z]+", "").alias("compact"), digits_only(t).alias("digits")))
 
 
+def target_forms(values: Column) -> Column:
+    """For each target the forms of its variants: made once, however many texts are searched for them."""
+    return F.transform(values, lambda v: F.transform(variants(v), forms))
+
+
 def _contains(f: Column, target: Column) -> Column:
+    """Whether a text with the forms `f` holds a target, one of `target_forms`."""
     found = lambda v: F.contains(f["text"], v["text"]) | ((v["compact"] != "") & F.contains(f["compact"], v["compact"])) | ((F.length(v["digits"]) >= 3) & F.contains(f["digits"], v["digits"]))
-    return F.exists(F.transform(variants(target), forms), found)
+    return F.exists(target, found)
 
 
 def contains_any(blob: Column, values: Column) -> Column:
-    return bind(forms(blob), lambda f: F.exists(values, lambda v: _contains(f, v)))
+    return bind(F.struct(forms(blob).alias("f"), target_forms(values).alias("t")), lambda x: F.exists(x["t"], lambda v: _contains(x["f"], v)))
 
 
 def target_coverage(blob: Column, values: Column) -> Column:
-    return bind(forms(blob), lambda f: share(F.filter(values, lambda v: _contains(f, v)), values))
+    return bind(F.struct(forms(blob).alias("f"), target_forms(values).alias("t")), lambda x: share(F.filter(x["t"], lambda v: _contains(x["f"], v)), values))
 
 
 def reference_blob(ref: Column) -> Column:
     return F.concat_ws(" ", *[F.coalesce(ref[c], F.lit("")) for c in ("reference", "pasal_id", "source_file", "text_preview")])
 
 
+def target_hits(refs: Column, *targets: Column) -> Column:
+    """struct per reference: its rank and, for each array of targets, whether it holds one (h0, h1, ...).
+
+    References and targets are brought to their forms once, for all measures that are read from the hits.
+    """
+    both = F.struct(F.transform(refs, lambda r: F.struct(r["rank"].alias("rank"), forms(reference_blob(r)).alias("f"))).alias("refs"), *[target_forms(t).alias(f"t{i}") for i, t in enumerate(targets)])
+    holds = lambda r, t: F.exists(t, lambda v: _contains(r["f"], v))
+    return bind(both, lambda b: F.transform(b["refs"], lambda r: F.struct(r["rank"].alias("rank"), *[holds(r, b[f"t{i}"]).alias(f"h{i}") for i in range(len(targets))])))
+
+
+def first_rank(hits: Column, which: int = 0) -> Column:
+    """Rank of the first of `target_hits` that holds one of those targets, else 999."""
+    return F.coalesce(F.get(F.filter(hits, lambda h: h[f"h{which}"]), F.lit(0))["rank"], F.lit(NO_RANK))
+
+
 def target_rank(refs: Column, values: Column) -> Column:
     """Rank of the first reference with a target, else 999."""
-    hit = F.filter(refs, lambda r: contains_any(reference_blob(r), values))
-    return F.coalesce(F.get(hit, F.lit(0))["rank"], F.lit(NO_RANK))
+    return first_rank(target_hits(refs, values))
 
 
 def reciprocal_rank(rank: Column) -> Column:
@@ -83,9 +105,14 @@ def reciprocal_rank(rank: Column) -> Column:
 
 def precision_at(refs: Column, values: Column, k: int = 3, *, fixed: bool = False) -> Column:
     """Share of the first k references with a target; of those returned, or of k with `fixed`."""
-    top = F.slice(refs, 1, k)
-    hits = F.filter(top, lambda r: contains_any(reference_blob(r), values))
-    return F.size(hits) / F.lit(k) if fixed else share(hits, top)
+    return hits_at(target_hits(F.slice(refs, 1, k), values), k, fixed=fixed)
+
+
+def hits_at(hits: Column, k: int = 3, *, which: tuple[int, ...] = (0,), fixed: bool = False) -> Column:
+    """`precision_at` of `target_hits`, of any of the arrays of targets in `which`."""
+    top = F.slice(hits, 1, k)
+    found = F.filter(top, lambda h: reduce(lambda a, b: a | b, [h[f"h{i}"] for i in which]))
+    return F.size(found) / F.lit(k) if fixed else share(found, top)
 
 
 def length_score(answer: Column) -> Column:

@@ -23,13 +23,14 @@ def measured(rows: DataFrame) -> DataFrame:
     articles, laws = m.targets(F.col("expected_articles")), m.targets(F.col("expected_law_numbers"))
     cites = m.targets(F.col("expected_citations"))
     keywords, answer = m.targets(F.col("expected_keywords")), F.coalesce("answer", F.lit(""))
+    out = out.withColumn("_found", m.target_hits(F.col("_refs"), articles, laws))
     out = out.withColumns(
         {
             "_hits": m.keyword_hits(answer, F.col("expected_keywords")),
-            "expected_article_rank": m.target_rank(F.col("_refs"), articles),
-            "expected_law_rank": m.target_rank(F.col("_refs"), laws),
+            "expected_article_rank": m.first_rank(F.col("_found"), 0),
+            "expected_law_rank": m.first_rank(F.col("_found"), 1),
             "retrieval_citation_coverage": m.target_coverage(F.coalesce("retrieved_references_text", F.lit("")), cites),
-            "precision_at_3": m.precision_at(F.col("_refs"), F.concat(articles, laws), 3),
+            "precision_at_3": m.hits_at(F.col("_found"), 3, which=(0, 1)),
             "answer_citation_hit": m.contains_any(answer, F.concat(cites, articles, laws)).cast("int"),
             "answer_word_count": F.regexp_count(answer, F.lit(r"(?U)\S+")),
             "answer_length_score": m.length_score(F.col("answer")),
@@ -50,7 +51,7 @@ def measured(rows: DataFrame) -> DataFrame:
         }
     )
     out = out.withColumn("overall_score", m.overall_score())
-    return out.withColumn("quality_label", m.quality_label(F.col("overall_score"))).drop("_refs", "_hits")
+    return out.withColumn("quality_label", m.quality_label(F.col("overall_score"))).drop("_refs", "_found", "_hits")
 
 
 METRICS = (*rules.SCORE_WEIGHTS, "article_hit_at_8", "law_mrr", "overall_score", "latency_seconds", "answer_word_count")

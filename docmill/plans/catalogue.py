@@ -811,8 +811,9 @@ def target_ranks(spark: SparkSession, d: str) -> DataFrame:
     at = (F.col("o_orderkey") % 5).cast("int")
     ref = lambda i: F.struct((i + 1).alias("rank"), F.when((i == at) & (at < 4), "Peraturan Pemerintah No. 35 Tahun 2021, Pasal 2").otherwise("Keputusan lain").alias("reference"), F.lit("a.pdf").alias("source_file"), F.lit("").alias("pasal_id"), F.lit("").alias("text_preview"))
     refs, wanted = F.transform(F.sequence(F.lit(0), F.lit(7)), ref), F.array(F.lit("PP 35/2021"))
-    rank = m.target_rank(refs, wanted)
-    return table(spark, d, "orders").select("o_orderkey", rank.alias("rank"), r6(m.reciprocal_rank(rank)).alias("rr"), r6(m.precision_at(refs, wanted, 3)).alias("precision_at_3"))
+    found = table(spark, d, "orders").select("o_orderkey", m.target_hits(refs, wanted).alias("hits"))
+    ranked = found.select("o_orderkey", m.first_rank(F.col("hits")).alias("rank"), r6(m.hits_at(F.col("hits"), 3)).alias("precision_at_3"))
+    return ranked.select("o_orderkey", "rank", r6(m.reciprocal_rank(F.col("rank"))).alias("rr"), "precision_at_3")
 
 
 SCORED = "SELECT o_orderkey AS id, o_orderpriority AS topic, (o_totalprice % 1000) / 1000.0 AS overall_score, CAST(o_custkey AS DOUBLE) AS other FROM orders"

@@ -118,3 +118,10 @@ def test_words_are_fixed_piece_by_piece_as_in_the_whole(spark):
         steps += [(upper, to), (lower, to.lower()), (title, to.title()), (f"(?!{upper}|{lower}|{title})(?i:{pattern})", to)]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.fix_words(F.col("t")).alias("a"), tx.chain(F.col("t"), *steps).alias("b")).collect()
     assert [(r["t"], r["a"]) for r in rows] == [(r["t"], r["b"]) for r in rows] and any(r["t"] != r["b"] for r in rows)
+
+
+def test_hits_of_several_targets_at_once(spark):
+    refs = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(r).alias("reference"), F.lit("").alias("source_file"), F.lit(p).alias("pasal_id"), F.lit("").alias("text_preview")) for i, (r, p) in enumerate([("lain", "Pasal 2"), ("Peraturan Pemerintah No. 35 Tahun 2021", "Pasal 3"), ("lain", "Pasal 40")], 1)])
+    hits = m.target_hits(refs, F.array(F.lit("PP 35/2021")), F.array(F.lit("Pasal 40"), F.lit("")))
+    got = one(spark, "", lambda t: F.struct(m.first_rank(hits, 0).alias("a"), m.first_rank(hits, 1).alias("b"), m.hits_at(hits, 3, which=(0, 1)).alias("c"), m.hits_at(hits, 2).alias("d")))
+    assert (got["a"], got["b"], got["c"], got["d"]) == (2, 3, 2 / 3, 0.5)
