@@ -44,8 +44,8 @@ def regulation_type(filename: Column, head: Column) -> Column:
     return F.coalesce(
         F.when(head.rlike(r"(?i)\bPERATURAN\s*MENTERI\s*KETENAGAKERJAAN\b.*?\bNOMOR\b"), "Peraturan Menteri Ketenagakerjaan"),
         F.when(head.rlike(r"(?i)\bPERATURAN\s*MENTERI\b.*?\bNOMOR\b"), "Peraturan Menteri"),
-        first_match(group(head, formal, 1), rules.REGULATION_TYPES),
-        first_match(name, rules.REGULATION_TYPES),
+        tx.bind(group(head, formal, 1), lambda g: first_match(g, rules.REGULATION_TYPES)),
+        tx.bind(name, lambda n: first_match(n, rules.REGULATION_TYPES)),
         first_match(head, rules.REGULATION_TYPES),
         F.lit("Unknown"),
     )
@@ -86,18 +86,22 @@ def number_and_year_of_title(zone: Column) -> Column:
 
 def subject(head: Column, longest: int = 700) -> Column:
     """What the regulation is about, upper case: the title's TENTANG, the enacting clause's, else the longest candidate."""
-    flat = F.regexp_replace(head, r"(?U)\s+", " ")
     tidy = lambda c: tx.strip_chars(tx.compact_spaces(c), " .;:")
-    fits = lambda c: F.when(F.length(c).between(5, longest), c)
+    # what does not match is empty, which is too short; a candidate is made once for both of its bounds
+    fits = lambda c: tx.bind(c, lambda x: F.when(F.length(x).between(5, longest), x))
     title = r"(?i)\bNOMOR\b.{0,160}?\bTENTANG\s+(.*?)(?=\bDENGAN\s+RAH\s*MAT\b|\bPRESIDEN\s+REPUBLIK\b|$)"
     enacted = r"(?i)\bMenetap\w*\s*:\s*.*?\bTENTANG\s+(.*?)(?=\.?\s*\b(?:BAB\s+[IVXLCDM]+|Pasal\s+1)\b|\.|$)"
     anywhere = (
         r"(?i)\bTENTANG\s+(.*?)(?=\bDENGAN\s+RAH\s*MAT\b|\bPRESIDEN\s+REPUBLIK\b|\bMenimbang\b|\bMengingat\b|\bMEMUTUSKAN\b|\bBAB\s+[IVXLCDM]+\b|\bPasal\s+1\b)"
     )
     lead = r"(?i)^(?:PERATURAN|UNDANG-UNDANG|KEPUTUSAN|INSTRUKSI).*?\bTENTANG\s+"
-    found = F.filter(F.transform(F.regexp_extract_all(flat, F.lit(anywhere), F.lit(1)), lambda c: tx.strip_chars(F.regexp_replace(tx.compact_spaces(c), lead, ""), " .;:")), lambda c: F.length(c).between(5, longest))
-    longest_of = F.array_max(F.transform(found, lambda c, i: F.struct(F.length(c).alias("n"), (-i).alias("at"), c.alias("c"))))["c"]
-    return F.upper(F.coalesce(fits(tidy(group(title_zone(flat), title, 1))), fits(tidy(group(flat, enacted, 1))), longest_of))
+
+    def of_flat(flat: Column) -> Column:
+        found = F.filter(F.transform(F.regexp_extract_all(flat, F.lit(anywhere), F.lit(1)), lambda c: tx.strip_chars(F.regexp_replace(tx.compact_spaces(c), lead, ""), " .;:")), lambda c: F.length(c).between(5, longest))
+        longest_of = F.array_max(F.transform(found, lambda c, i: F.struct(F.length(c).alias("n"), (-i).alias("at"), c.alias("c"))))["c"]
+        return F.upper(F.coalesce(fits(tidy(F.regexp_extract(title_zone(flat), title, 1))), fits(tidy(F.regexp_extract(flat, enacted, 1))), longest_of))
+
+    return tx.bind(F.regexp_replace(head, r"(?U)\s+", " "), of_flat)
 
 
 def hierarchy(regulation_type_: Column) -> Column:
@@ -110,7 +114,7 @@ def regulation(path: Column, text: Column) -> Column:
     filename = F.regexp_replace(path, r"^.*/", "")
 
     def of_head(head: Column) -> Column:
-        parts = F.struct(number_and_year_of_title(title_zone(head)).alias("titled"), number_and_year_of_filename(filename).alias("named"), regulation_type(filename, head).alias("kind"), head.alias("head"))
+        parts = F.struct(tx.bind(title_zone(head), number_and_year_of_title).alias("titled"), number_and_year_of_filename(filename).alias("named"), regulation_type(filename, head).alias("kind"), head.alias("head"))
         return tx.bind(parts, of_parts)
 
     def of_parts(p: Column) -> Column:
@@ -121,6 +125,10 @@ def regulation(path: Column, text: Column) -> Column:
         kind = F.when(nomor.rlike(r"(?i)\bPER[.\-/]?\d{1,4}.*\bMEN\b"), "Peraturan Menteri").otherwise(p["kind"])
         ministry = p["head"].rlike(r"(?i)\bMENTERI\s+(?:TENAGA\s+KERJA|KETENAGAKERJAAN|TENAGA\s+KERJA\s+DAN\s+TRANSMIGRASI)\b")
         kind = F.when(ministry & kind.isin("Unknown", "Undang-Undang", "Peraturan Menteri"), "Peraturan Menteri Ketenagakerjaan").otherwise(kind)
+        return tx.bind(F.struct(kind.alias("kind"), nomor.alias("nomor"), year.alias("year"), p["head"].alias("head")), of_known)
+
+    def of_known(p: Column) -> Column:
+        kind, nomor, year = p["kind"], p["nomor"], p["year"]
         return F.struct(
             kind.alias("regulation_type"),
             hierarchy(kind).alias("regulation_hierarchy"),

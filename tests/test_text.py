@@ -125,3 +125,9 @@ def test_hits_of_several_targets_at_once(spark):
     hits = m.target_hits(refs, F.array(F.lit("PP 35/2021")), F.array(F.lit("Pasal 40"), F.lit("")))
     got = one(spark, "", lambda t: F.struct(m.first_rank(hits, 0).alias("a"), m.first_rank(hits, 1).alias("b"), m.hits_at(hits, 3, which=(0, 1)).alias("c"), m.hits_at(hits, 2).alias("d")))
     assert (got["a"], got["b"], got["c"], got["d"]) == (2, 3, 2 / 3, 0.5)
+
+
+def test_a_title_is_looked_for_once(spark):
+    """The candidates of a subject are not written out again for each bound and each check that they match."""
+    assert str(md.subject(F.col("t"))).count("{0,160}") == 1
+    assert str(md.regulation(F.lit("x.pdf"), F.col("t"))).count("{0,160}") == 1
